@@ -15,15 +15,51 @@ from folioscope.catalogue.inputs import (
     question_table,
     vector_table,
 )
+from folioscope.functions.english import STOP_WORDS, stem_steps
 from folioscope.functions.sizing import measure
-from folioscope.functions.text import bags, question_terms, tokens
-from folioscope.operators import dense, fusion, lexical
+from folioscope.functions.text import bags
+from folioscope.operators import dense, fulltext, fusion, lexical
 from folioscope.operators.rerank import rerank
 from folioscope.plans import retrieval
 from folioscope.plugins import HashingEncoder, OverlapScorer
 from folioscope.session import materialise, table
 
 
+def stemmed_sql(source: str) -> str:
+    """`source(term)` with its stem as `w`, one nested projection per step."""
+    statement, present = f"SELECT term, term AS w FROM ({source})", {"w"}
+    for step in stem_steps():
+        for name, value in step.items():
+            value = value.replace("'$1Y')", r"'\1Y', 'g')")
+            change = f"* REPLACE ({value} AS {name})" if name in present else f"*, {value} AS {name}"
+            present.add(name)
+            statement = f"SELECT {change} FROM ({statement})"
+    return statement
+
+
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+STOPPED = ", ".join(f"'{word}'" for word in STOP_WORDS)
+LEXEME_CTES = f"""
+wd AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents)
+  WHERE term NOT IN ({STOPPED}) GROUP BY ALL
+),
+wq AS (
+  SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest({WORDS}) AS term FROM benchmark)
+  WHERE term NOT IN ({STOPPED})
+),
+stems AS (SELECT term, w AS lexeme FROM ({stemmed_sql("SELECT term FROM wd UNION SELECT term FROM wq")})),
+asked AS (SELECT DISTINCT query_id, lexeme FROM wq JOIN stems USING (term)),
+ft AS (
+  SELECT query_id, doc_id AS chunk_id, round(sum(tf) * 0.1, 6)::DOUBLE AS score
+  FROM asked JOIN stems USING (lexeme) JOIN wd USING (term) GROUP BY ALL
+),
+fts AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM ft
+)
+"""
+
+
 def corpus(spark, folder) -> retrieval.Corpus:
     return retrieval.Corpus(chunk_table(spark, folder))
 
@@ -100,6 +136,46 @@ def bm25_library_topk(spark, folder):
     return lexical.search(chunk_table(spark, folder), question_table(spark, folder), limit=10, library=True)
 
 
+@query(
+    f"""WITH {LEXEME_CTES} SELECT lexeme, count(DISTINCT doc_id)::BIGINT AS df, sum(tf)::BIGINT AS positions
+    FROM wd JOIN stems USING (term) GROUP BY lexeme"""
+)
+def lexeme_stats(spark, folder):
+    found = fulltext.lexemes(chunk_table(spark, folder), "chunk_id", "text")
+    return found.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"), F.sum("positions").alias("positions"))
+
+
+@query(f"WITH {LEXEME_CTES} SELECT query_id, rank, chunk_id, score FROM fts WHERE rank <= 10")
+def fts_or_topk(spark, folder):
+    return fulltext.search(chunk_table(spark, folder), question_table(spark, folder), limit=10)
+
+
+@query(
+    f"""WITH {INDEX_CTES}, {BM25_SCORES}, {DENSE_SCORES}, {LEXEME_CTES},
+    lists AS (
+      SELECT query_id, chunk_id, rank, 0 AS list FROM dense WHERE rank <= 50
+      UNION ALL SELECT query_id, chunk_id, rank, 1 FROM bm25 WHERE rank <= 50
+      UNION ALL SELECT query_id, chunk_id, rank, 2 FROM fts WHERE rank <= 50
+    ),
+    rrf AS (
+      SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000 + rank) AS seen
+      FROM lists GROUP BY query_id, chunk_id
+    )
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, chunk_id) AS rank, chunk_id, score
+    FROM rrf"""
+)
+def rrf_three_lists(spark, folder):
+    documents, questions = corpus(spark, folder), question_table(spark, folder)
+    extent = measure(questions)
+    return fusion.fuse(
+        [
+            retrieval.dense_ranking(documents, questions, 50),
+            retrieval.lexical_ranking(documents, questions, 50, extent),
+            fulltext.search(documents.chunks, questions, 50, extent),
+        ]
+    )
+
+
 @query(
     """WITH pairs AS (
       SELECT q.vec_id AS query_id, d.vec_id AS chunk_id,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.session import table
@@ -9,7 +11,7 @@ from folioscope.session import table
 
 def chunk_table(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as a chunk table: one chunk per document."""
-    return table(spark, folder, "documents").selectExpr("doc_id as chunk_id", "text")
+    return table(spark, folder, "documents", "doc_id").selectExpr("doc_id as chunk_id", "text")
 
 
 def question_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,8 +22,6 @@ def vector_table(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").selectExpr("vec_id as chunk_id", "embedding")
 
 
-TOKENS = "regexp_extract_all(lower({text}), '[a-z0-9]+')"
-
 # tf, lengths, corpus totals, df and question terms of documents x benchmark.
 INDEX_CTES = """
 lens AS (
@@ -112,3 +112,8 @@ reranked AS (
   FROM rr
 )
 """
+
+
+def over(fragment: str, documents: str = "documents", benchmark: str = "benchmark") -> str:
+    """A fragment reading other relations of the same shape than the given tables."""
+    return re.sub(r"\bbenchmark\b", benchmark, re.sub(r"\bdocuments\b", documents, fragment))

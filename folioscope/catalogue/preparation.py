@@ -17,7 +17,7 @@ WS = WHITESPACE
 
 
 def documents(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return table(spark, folder, "documents", "doc_id").select("doc_id", "text")
 
 
 # --- SQL fragments ---------------------------------------------------------
@@ -149,17 +149,17 @@ chunks AS (
       '{WS}+', ' ', 'g')) AS title FROM pages"""
 )
 def page_title_extract(spark, folder):
-    return table(spark, folder, "pages").select("page_id", page_title(F.col("html")).alias("title"))
+    return table(spark, folder, "pages", "page_id").select("page_id", page_title(F.col("html")).alias("title"))
 
 
 @query(f"SELECT page_id, md5(text) AS text_md5, length(text) AS chars FROM (SELECT page_id, {rendered_pages()} AS text FROM pages)")
 def render_pages(spark, folder):
-    text = table(spark, folder, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+    text = table(spark, folder, "pages", "page_id").select("page_id", html_text(F.col("html")).alias("text"))
     return text.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars"))
 
 
 def _page_paragraphs(spark, folder):
-    text = table(spark, folder, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+    text = table(spark, folder, "pages", "page_id").select("page_id", html_text(F.col("html")).alias("text"))
     return paragraphs(text, "page_id")
 
 
@@ -192,7 +192,7 @@ def latex_paragraphs(spark, folder):
         body,
         F.lit("\n\\end{document}\nafter the end"),
     )
-    written = table(spark, folder, "documents").select("doc_id", latex.alias("latex"))
+    written = table(spark, folder, "documents", "doc_id").select("doc_id", latex.alias("latex"))
     read = written.select("doc_id", latex_text(F.col("latex")).alias("text"))
     return paragraphs(read, "doc_id").withColumn("text_md5", F.md5("text")).drop("text")
 

@@ -241,6 +241,6 @@ def rerank_topk(spark, folder):
 )
 def search_passages(spark, folder):
     """Search results with provenance, text fetched after ranking."""
-    chunks = table(spark, folder, "documents").selectExpr("doc_id as chunk_id", "text", "lang", "source")
+    chunks = table(spark, folder, "documents", "doc_id").selectExpr("doc_id as chunk_id", "text", "lang", "source")
     found = retrieval.passages(retrieval.Corpus(chunks), question_table(spark, folder), reranked=False)
     return found.withColumn("text_md5", F.md5("text")).drop("text")

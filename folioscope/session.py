@@ -47,5 +47,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+SMALL_TABLE_BYTES = 256 * 1024 * 1024
+
+
+def table(spark: SparkSession, folder: str, name: str, key: str | None = None) -> DataFrame:
+    """A table of a data folder.
+
+    With a `key`, a table that is small on disk is spread over the session's
+    cores by it: a few megabytes of text in one row group would otherwise be
+    processed by one task. Larger tables have row groups enough and are read as
+    they lie; the size comes from the file listing alone.
+    """
+    path = f"{folder}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    if key is None:
+        return rows
+    listed = spark.read.format("binaryFile").load(path).agg({"length": "sum"}).first()[0] or 0
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if listed <= SMALL_TABLE_BYTES else rows

@@ -24,10 +24,11 @@ def local_session(cpus: int | str = "*", app: str = "folioscope", partitions: in
     )
 
 
-def _checkpoint_ready(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, set up if it is not yet."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
-        return
+        return context.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         context.setCheckpointDir(configured)
@@ -35,6 +36,7 @@ def _checkpoint_ready(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def materialise(df: DataFrame) -> DataFrame:
     Several consumers then read the files instead of each repeating the work, and
     a lost executor costs a re-read rather than a re-run of the lineage.
     """
-    _checkpoint_ready(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

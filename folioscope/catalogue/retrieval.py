@@ -96,7 +96,7 @@ def library_term_stats(spark, folder):
 @query(f"WITH {INDEX_CTES} SELECT doc_id AS chunk_id, length, round(1.5 * (0.25 + 0.75 * length / mean_length), 6) AS norm FROM lens, tot")
 def doc_lengths(spark, folder):
     index = lexical.build_index(chunk_table(spark, folder))
-    mean = index.totals().select("mean_length").scalar()
+    mean = index.totals()[1]
     return index.lengths.select(
         "chunk_id", "length", F.round(1.5 * (0.25 + 0.75 * F.col("length") / mean), 6).alias("norm")
     )

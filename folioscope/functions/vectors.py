@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import bags, let
+from folioscope.functions.text import bags
 
 HASH_DIMENSIONS = 64
 
@@ -17,26 +21,34 @@ def bucket(term: Column, dimensions: int = HASH_DIMENSIONS) -> Column:
     )
 
 
-def unit(vector: Column) -> Column:
-    """Scaled to length one; a zero vector stays zero."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
-    return let(
-        norm, lambda n: F.transform(vector, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)).cast("float"))
-    )
+def _fill(dimensions: int):
+    """Turns bucket lists into unit vectors, a whole Arrow batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets, counts = batch.column(1), batch.column(2)
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(buckets.offsets.to_numpy()))
+            cells = rows * dimensions + buckets.flatten().to_numpy()
+            sums = np.bincount(cells, counts.flatten().to_numpy(), batch.num_rows * dimensions)
+            block = sums.reshape(batch.num_rows, dimensions)
+            norms = np.sqrt((block * block).sum(axis=1, keepdims=True))
+            block = np.divide(block, norms, out=np.zeros_like(block), where=norms > 0).astype(np.float32)
+            offsets = np.arange(0, block.size + 1, dimensions, dtype=np.int32)
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(block.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[batch.schema.names[0], "embedding"])
 
+    return run
 
-def hashed_counts(df: DataFrame, key: str, text: str, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
-    """`key, counts`: how many tokens of the text fall into each hash bucket."""
-    def spread(terms: Column) -> Column:
-        hashed = F.transform(terms, lambda t: F.struct(bucket(t["term"], dimensions).alias("b"), t["tf"].alias("n")))
-        return let(
-            hashed,
-            lambda pairs: F.transform(
-                F.sequence(F.lit(0), F.lit(dimensions - 1)),
-                lambda i: F.aggregate(
-                    F.filter(pairs, lambda p: p["b"] == i), F.lit(0).cast("long"), lambda total, p: total + p["n"]
-                ),
-            ),
-        )
-
-    return bags(df, key, text).select(key, spread(F.col("terms")).alias("counts"))
+
+def hashed(df: DataFrame, key: str, text: str, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
+    """`key, embedding`: tokens counted per hash bucket, scaled to unit length.
+
+    A text without tokens gets the zero vector.
+    """
+    terms = bags(df, key, text).select(
+        key,
+        F.transform("terms", lambda t: bucket(t["term"], dimensions)).alias("buckets"),
+        F.transform("terms", lambda t: t["tf"]).alias("counts"),
+    )
+    kind = terms.schema[key].dataType.simpleString()
+    return terms.mapInArrow(_fill(dimensions), f"`{key}` {kind}, embedding array<float>")

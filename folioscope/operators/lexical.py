@@ -1,8 +1,8 @@
 """BM25: term index, inverse document frequency, scoring, top-k.
 
 The index is two DataFrames. `postings` holds one row per (chunk, term) with the
-chunk's length beside it; `lengths` one row per chunk. Nothing is held in the
-driver, and the corpus totals enter the plan as scalar subqueries.
+chunk's length beside it; `lengths` one row per chunk. The driver only ever holds
+the number of chunks and their mean length.
 """
 
 from __future__ import annotations
@@ -25,11 +25,10 @@ class TermIndex:
     postings: DataFrame  # chunk_id, length, term, tf
     lengths: DataFrame  # chunk_id, length
 
-    def totals(self) -> DataFrame:
-        """One row: number of chunks and their mean length."""
-        return self.lengths.agg(
-            F.count(F.lit(1)).alias("chunks"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean_length")
-        )
+    def totals(self) -> tuple[int, float]:
+        """Number of chunks and their mean length: two numbers, read once."""
+        row = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+        return int(row["n"]), float(row["mean"] or 0.0)
 
     def document_frequency(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -70,8 +69,8 @@ def index_for(
     """Index restricted to the terms a batch of questions uses, written once.
 
     One pass over the corpus produces the surviving postings and every chunk's
-    length (a row whose term is null), placed by chunk so that scoring a
-    (question, chunk) pair needs no further exchange.
+    length (a row whose term is null); document frequency, corpus totals and
+    scoring then read that table instead of the corpus.
     """
     vocabulary = terms.select("term").distinct().withColumn("wanted", F.lit(True))
     rows = bags(chunks, key, text).withColumnRenamed(key, "chunk_id")
@@ -86,60 +85,64 @@ def index_for(
             entries.where("term is not null"), vocabulary, ["term"], fits=False, spread=["chunk_id"], how="left_semi"
         )
         kept = found.unionByName(entries.where("term is null"))
-    kept = materialise(kept.select("chunk_id", "length", "term", "tf").repartition("chunk_id"))
+    kept = materialise(kept.select("chunk_id", "length", "term", "tf"))
     return TermIndex(kept.where("term is not null"), kept.where("term is null").select("chunk_id", "length"))
 
 
 # --- weights ---------------------------------------------------------------
 
 
-def smoothed_idf(df: Column, chunks: Column) -> Column:
+def smoothed_idf(df: Column, chunks: int) -> Column:
     """Positive for every term, also for one that is in every chunk."""
-    return F.log(1.0 + (chunks - df + 0.5) / (df + 0.5))
+    return F.log(1.0 + (F.lit(chunks) - df + 0.5) / (df + 0.5))
 
 
-def plain_idf(df: Column, chunks: Column) -> Column:
+def plain_idf(df: Column, chunks: int) -> Column:
     """Unsmoothed; negative once a term is in more than half of the chunks."""
-    return F.log(chunks - df + 0.5) - F.log(df + 0.5)
+    return F.log(F.lit(chunks) - df + 0.5) - F.log(df + 0.5)
 
 
-def term_stats(index: TermIndex) -> DataFrame:
+def term_stats(index: TermIndex, chunks: int | None = None) -> DataFrame:
     """`term, df, idf` over the whole index."""
-    chunks = index.totals().select("chunks").scalar()
+    chunks = index.totals()[0] if chunks is None else chunks
     return index.document_frequency().select("term", "df", smoothed_idf(F.col("df"), chunks).alias("idf"))
 
 
-def library_term_stats(index: TermIndex) -> DataFrame:
+def library_term_stats(index: TermIndex, chunks: int | None = None) -> DataFrame:
     """Unsmoothed weights, the negative ones replaced by a share of the mean."""
-    chunks = index.totals().select("chunks").scalar()
+    chunks = index.totals()[0] if chunks is None else chunks
     plain = index.document_frequency().select("term", "df", plain_idf(F.col("df"), chunks).alias("idf"))
     floor = plain.agg((LIBRARY_IDF_FLOOR * F.avg("idf")).alias("floor")).scalar()
     return plain.select("term", "df", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf"))
 
 
-def saturation(tf: Column, length: Column, mean_length: Column) -> Column:
+def saturation(tf: Column, length: Column, mean_length: float) -> Column:
     """Term frequency damped by repetition and by the chunk's relative length."""
-    relative = F.when(mean_length > 0, length / mean_length).otherwise(F.lit(0.0))
-    norm = F.when(mean_length > 0, BM25_K1 * (1.0 - BM25_B + BM25_B * relative)).otherwise(F.lit(0.0))
+    if mean_length <= 0:
+        return F.lit(BM25_K1 + 1.0)
+    norm = BM25_K1 * (1.0 - BM25_B + BM25_B * length / F.lit(mean_length))
     return tf * (BM25_K1 + 1.0) / (tf + norm)
 
 
 # --- scoring ---------------------------------------------------------------
 
 
-def score(index: TermIndex, terms: DataFrame, stats: DataFrame, extent: Extent) -> DataFrame:
-    """`query_id, chunk_id, score` for every chunk sharing a term with a question."""
-    mean_length = index.totals().select("mean_length").scalar()
-    weights = spread_join(
-        stats.select("term", "idf"),
-        terms,
-        ["term"],
-        fits=extent.fits(per_row=16, copies=24),
-        spread=["term"],
-    ).select("term", "query_id", (F.col("idf") * F.col("qtf")).alias("weight"))
-    hits = spread_join(
-        index.postings, weights, ["term"], fits=extent.fits(per_row=16, copies=24), spread=["chunk_id"]
+def score(
+    index: TermIndex, terms: DataFrame, stats: DataFrame, extent: Extent, mean_length: float | None = None
+) -> DataFrame:
+    """`query_id, chunk_id, score` for every chunk sharing a term with a question.
+
+    With few questions the postings are placed by chunk before they meet the
+    broadcast weights. What is shuffled is then the postings, however many
+    (question, chunk) pairs come of them, and each pair is summed where it arises.
+    """
+    mean_length = index.totals()[1] if mean_length is None else mean_length
+    small = extent.fits(per_row=16, copies=24)
+    weights = spread_join(stats.select("term", "idf"), terms, ["term"], fits=small, spread=["term"]).select(
+        "term", "query_id", (F.col("idf") * F.col("qtf")).alias("weight")
     )
+    postings = index.postings.repartition("chunk_id") if small else index.postings
+    hits = spread_join(postings, weights, ["term"], fits=small, spread=["chunk_id"])
     part = F.col("weight") * saturation(F.col("tf"), F.col("length"), mean_length)
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
 
@@ -170,11 +173,12 @@ def search(
     extent = extent or measure(questions.select("query_id", "text"))
     terms = question_terms(questions)
     pruned = index or index_for(chunks, terms, extent)
+    total, mean_length = pruned.totals()
     if library:
-        stats = library_term_stats(index or build_index(chunks))
+        stats = library_term_stats(index or build_index(chunks), total)
     else:
-        stats = term_stats(pruned)
-    return top_chunks(score(pruned, terms, stats, extent), limit)
+        stats = term_stats(pruned, total)
+    return top_chunks(score(pruned, terms, stats, extent, mean_length), limit)
 
 
 def keep_zero(ranking: DataFrame, chunks: DataFrame, questions: DataFrame, limit: int) -> DataFrame:

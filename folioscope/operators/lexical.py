@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.constants import BM25_B, BM25_K1, CANDIDATES, LIBRARY_IDF_FLOOR
 from folioscope.functions.sizing import Extent, measure, spread_join, top_ranked
-from folioscope.functions.text import bags, question_terms
+from folioscope.functions.text import bags, question_terms, tokens
+from folioscope.operators import blocks
+from folioscope.operators.blocks import Lookup
 from folioscope.session import materialise
 
 SCORE_DIGITS = 6
@@ -166,12 +169,17 @@ def search(
     """Ranks chunks for every question of the batch.
 
     `questions` has `query_id, text`; `chunks` has `chunk_id, text`. Without a
-    stored `index` the pass over the corpus keeps only the batch's terms. With
-    `library` the weights need the frequency of every term, so they come from a
-    second, aggregate-only pass.
+    stored `index` the pass over the corpus keeps only the batch's terms: in
+    blocks when the measured batch is small, as joined postings otherwise. With
+    `library` the weights need the frequency of every term, which takes a second,
+    aggregate-only pass.
     """
     extent = extent or measure(questions.select("query_id", "text"))
     terms = question_terms(questions)
+    if index is None and extent.fits(copies=2):
+        lookup = Lookup.of(terms, "qtf")
+        if lookup is not None:
+            return top_chunks(_by_blocks(chunks, lookup, limit, library), limit)
     pruned = index or index_for(chunks, terms, extent)
     total, mean_length = pruned.totals()
     if library:
@@ -181,6 +189,26 @@ def search(
     return top_chunks(score(pruned, terms, stats, extent, mean_length), limit)
 
 
+def _by_blocks(chunks: DataFrame, lookup: Lookup, limit: int, library: bool) -> DataFrame:
+    """Scores a batch whose term-by-question matrix is small."""
+    rows = materialise(blocks.counted(chunks, tokens(F.col("text")), lookup.vocabulary))
+    total, mean_length, df = blocks.totals(rows, len(lookup.vocabulary))
+    if library:
+        idf = np.log(total - df + 0.5) - np.log(df + 0.5)
+        idf = np.where(idf < 0, library_floor(chunks, total), idf)
+    else:
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+    return blocks.best(rows, lookup.query_ids, lookup.usage * idf[:, None], limit, mean_length)
+
+
+def library_floor(chunks: DataFrame, total: int) -> float:
+    """What replaces a negative weight: a share of the mean over all terms."""
+    words = chunks.select(F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    frequency = words.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    mean = frequency.agg(F.avg(plain_idf(F.col("df"), total)).alias("mean")).first()["mean"]
+    return LIBRARY_IDF_FLOOR * (mean or 0.0)
+
+
 def keep_zero(ranking: DataFrame, chunks: DataFrame, questions: DataFrame, limit: int) -> DataFrame:
     """Fills a ranking up to `limit` with zero-scored chunks in id order.
 

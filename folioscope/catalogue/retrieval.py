@@ -203,7 +203,7 @@ def dense_topk_hashed(spark, folder):
     UNION ALL SELECT doc_id, 0, 0 FROM lens WHERE length = 0"""
 )
 def passage_encoding(spark, folder):
-    vectors = HashingEncoder().passages(chunk_table(spark, folder), "chunk_id", "text")
+    vectors = HashingEncoder().passages(chunk_table(spark, folder))
     return vectors.select(
         "chunk_id",
         F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("used"),

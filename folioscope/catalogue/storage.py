@@ -10,7 +10,6 @@ from folioscope.catalogue import query
 from folioscope.catalogue.preparation import PAGE_BLOCKS, collapse, packed
 from folioscope.operators import chunks as chunking
 from folioscope.operators.paragraphs import paragraphs
-from folioscope.plans.ingestion import embedded
 from folioscope.plugins import HashingEncoder
 from folioscope.schemas import CHUNKS
 from folioscope.session import checkpoint_folder, table
@@ -129,7 +128,7 @@ def stored_pages(spark, folder) -> Store:
     named = pages.withColumn("paper_id", F.concat(F.lit("page"), "page_id"))
     text = named.select("paper_id", html_text(F.col("html")).alias("text"))
     chunks = chunking.with_ids(chunking.chunk(paragraphs(text, "paper_id"), "paper_id"), "paper_id")
-    ready = embedded(chunks, HashingEncoder())
+    ready = HashingEncoder().passages(chunks)
     none = F.expr("cast(array() as array<string>)")
     papers = named.select(
         "paper_id", page_title(F.col("html")).alias("title"), F.lit("").alias("abstract"), none.alias("authors"),

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioscope.functions.text import bags
+from folioscope.functions.text import term_counts, tokens
 
 HASH_DIMENSIONS = 64
 
@@ -22,11 +23,12 @@ def bucket(term: Column, dimensions: int = HASH_DIMENSIONS) -> Column:
 
 
 def _fill(dimensions: int):
-    """Turns bucket lists into unit vectors, a whole Arrow batch at a time."""
+    """Turns the two bucket lists at the end of each row into a unit vector, a
+    whole Arrow batch at a time; the other columns pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buckets, counts = batch.column(1), batch.column(2)
+            buckets, counts = batch.column("_buckets"), batch.column("_counts")
             rows = np.repeat(np.arange(batch.num_rows), np.diff(buckets.offsets.to_numpy()))
             cells = rows * dimensions + buckets.flatten().to_numpy()
             sums = np.bincount(cells, counts.flatten().to_numpy(), batch.num_rows * dimensions)
@@ -35,20 +37,22 @@ def _fill(dimensions: int):
             block = np.divide(block, norms, out=np.zeros_like(block), where=norms > 0).astype(np.float32)
             offsets = np.arange(0, block.size + 1, dimensions, dtype=np.int32)
             vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(block.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[batch.schema.names[0], "embedding"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], vectors], names=[*batch.schema.names[:-2], "embedding"]
+            )
 
     return run
 
 
-def hashed(df: DataFrame, key: str, text: str, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
-    """`key, embedding`: tokens counted per hash bucket, scaled to unit length.
+def hashed(df: DataFrame, text: str, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
+    """Adds `embedding`: tokens counted per hash bucket, scaled to unit length.
 
     A text without tokens gets the zero vector.
     """
-    terms = bags(df, key, text).select(
-        key,
-        F.transform("terms", lambda t: bucket(t["term"], dimensions)).alias("buckets"),
-        F.transform("terms", lambda t: t["tf"]).alias("counts"),
+    terms = df.select("*", term_counts(tokens(F.col(text))).alias("_terms")).select(
+        *df.columns,
+        F.transform("_terms", lambda t: bucket(t["term"], dimensions)).alias("_buckets"),
+        F.transform("_terms", lambda t: t["tf"]).alias("_counts"),
     )
-    kind = terms.schema[key].dataType.simpleString()
-    return terms.mapInArrow(_fill(dimensions), f"`{key}` {kind}, embedding array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    return terms.mapInArrow(_fill(dimensions), schema)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.constants import CANDIDATES
@@ -88,16 +88,20 @@ def _by_broadcast(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return corpus.mapInArrow(nearest, RESULT)
 
 
+def _numbers(count: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
+
+
 def _by_blocks(corpus: DataFrame, queries: DataFrame, k: int, extent: Extent, chunks: int) -> DataFrame:
     """Every query block meets every corpus block in a group of bounded size."""
     query_blocks = max(1, math.ceil(extent.rows / QUERY_BLOCK))
     corpus_blocks = max(1, math.ceil(chunks / CORPUS_BLOCK))
 
     left = corpus.withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.lit(corpus_blocks))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long")
+        "qb", F.explode(_numbers(query_blocks))
     )
     right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))).cast("long")
+        "cb", F.explode(_numbers(corpus_blocks))
     )
 
     def nearest(some: pa.Table, asked: pa.Table) -> pa.Table:

@@ -65,7 +65,7 @@ def answer(
     if entries is None:
         answered = provider.complete(prompts).withColumn("cached", F.lit(False))
     else:
-        vectors = corpus.encoder.questions(questions, "query_id", "text")
+        vectors = corpus.encoder.questions(questions.select("query_id", "text"))
         hits = answer_cache.lookup(vectors, entries).where("hit").select("query_id", "seq")
         stored = spread_join(hits, entries.select("seq", "answer"), ["seq"], fits=True, spread=["query_id"])
         looked_up = materialise(prompts.join(stored.select("query_id", "answer"), "query_id", "left"))
@@ -81,9 +81,8 @@ def stored_entries(
     """The cache after a batch: fresh answers appended in question order, the
     oldest dropped. The sequence continues behind the entries already held."""
     fresh = checked.where(~F.col("cached")).select("query_id", "question", "answer")
-    vectors = corpus.encoder.questions(fresh, "query_id", "question")
     start = 0 if entries is None else (entries.agg(F.max("seq")).first()[0] or 0) + 1
-    added = fresh.join(vectors, "query_id").select(
+    added = corpus.encoder.questions(fresh, "question").select(
         (F.col("query_id") + start).alias("seq"), "question", "answer", "embedding"
     )
     everything = added if entries is None else entries.select(*added.columns).unionByName(added)

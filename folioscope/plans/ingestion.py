@@ -19,12 +19,6 @@ def chunk_sources(sources: DataFrame) -> DataFrame:
     return chunking.with_ids(chunking.chunk(paragraphs(text, "paper_id"), "paper_id"), "paper_id")
 
 
-def embedded(chunks: DataFrame, encoder: Encoder) -> DataFrame:
-    """Chunks with their vectors. The encoder sees each chunk once and the join is
-    by identifier, so a vector cannot end up beside another chunk's text."""
-    return chunks.join(encoder.passages(chunks, "chunk_id", "text"), "chunk_id")
-
-
 def ingest(store: Store, papers: DataFrame, archives: DataFrame, batch: int, encoder: Encoder | None = None) -> DataFrame:
     """Stores the papers that are new, have a source and yield at least one chunk.
 
@@ -36,10 +30,11 @@ def ingest(store: Store, papers: DataFrame, archives: DataFrame, batch: int, enc
     sources = (
         fresh.select("paper_id")
         .join(archives.select("paper_id", "content"), "paper_id")
+        .dropDuplicates(["paper_id"])
         .select("paper_id", flatten(member_array(F.col("content"))).alias("latex"))
         .where("latex <> ''")
     )
-    store.write(fresh, embedded(chunk_sources(sources), encoder), batch)
+    store.write(fresh, encoder.passages(chunk_sources(sources)), batch)
     stored = store.papers().where(F.col("batch") == batch)
     chunks = store.chunks().where(F.col("batch") == batch)
     offered = fresh.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()

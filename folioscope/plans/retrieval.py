@@ -39,7 +39,7 @@ class Corpus:
     def vectors(self) -> DataFrame:
         if "embedding" in self.chunks.columns:
             return self.chunks.select("chunk_id", "embedding")
-        return self.encoder.passages(self.chunks, "chunk_id", "text")
+        return self.encoder.passages(self.chunks.select("chunk_id", "text")).select("chunk_id", "embedding")
 
 
 def validate(top_k: int) -> None:
@@ -57,7 +57,7 @@ def lexical_ranking(corpus: Corpus, questions: DataFrame, limit: int, extent: Ex
 
 
 def dense_ranking(corpus: Corpus, questions: DataFrame, limit: int) -> DataFrame:
-    vectors = corpus.encoder.questions(questions, "query_id", "text")
+    vectors = corpus.encoder.questions(questions.select("query_id", "text")).select("query_id", "embedding")
     return dense.search(corpus.vectors(), vectors, limit)
 
 

@@ -77,7 +77,7 @@ def _members(archive: bytes) -> list[dict]:
                 for entry in tar
                 if entry.isfile() and entry.name.endswith(".tex")
             ]
-    except tarfile.TarError:
+    except (tarfile.TarError, OSError, EOFError, zlib.error):
         pass
     try:
         return [{"name": "main", "text": gzip.decompress(archive).decode("utf-8", "replace")}]

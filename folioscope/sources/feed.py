@@ -13,11 +13,16 @@ from folioscope.constants import FEED_LIMIT, FEED_PAGE_SIZE, REQUEST_DELAY_SECON
 from folioscope.functions.text import collapse
 
 # --- fixed values: the parts of an Atom entry that are read ----------------
-ENTRY = (
-    "struct<id:string,title:string,summary:string,author:array<struct<name:string>>,"
-    "category:array<struct<_term:string>>,published:string,updated:string,"
-    "link:array<struct<_title:string,_href:string>>>"
-)
+ENTRY_FIELDS = {
+    "id": "string",
+    "title": "string",
+    "summary": "string",
+    "author": "array<struct<name:string>>",
+    "category": "array<struct<_term:string>>",
+    "published": "string",
+    "updated": "string",
+    "link": "array<struct<_title:string,_href:string>>",
+}
 # ---------------------------------------------------------------------------
 
 
@@ -71,13 +76,14 @@ def download(
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Entries of feed files on disk, one row per entry."""
-    schema = f"id string, {ENTRY[len('struct<id:string,'):-1]}"
+    schema = ", ".join(f"{name} {kind}" for name, kind in ENTRY_FIELDS.items())
     return spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
 
 
 def entries(bodies: DataFrame, body: str = "body") -> DataFrame:
     """One row per entry of downloaded feed pages."""
-    parsed = bodies.select(F.from_xml(F.col(body), F.lit(f"struct<entry:array<{ENTRY}>>")).alias("_feed"))
+    entry = ",".join(f"{name}:{kind}" for name, kind in ENTRY_FIELDS.items())
+    parsed = bodies.select(F.from_xml(F.col(body), F.lit(f"struct<entry:array<struct<{entry}>>>")).alias("_feed"))
     return parsed.select(F.explode_outer("_feed.entry").alias("_e")).where("_e is not null").select("_e.*")
 
 

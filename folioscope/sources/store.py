@@ -61,9 +61,8 @@ class Store:
         """A copy in which every vector comes from `encoder`, so that passages and
         questions live in one space."""
         self.papers().write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/papers")
-        chunks = self.chunks().drop("embedding")
-        vectors = encoder.passages(chunks, "chunk_id", "text")
-        chunks.join(vectors, "chunk_id").write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/chunks")
+        chunks = encoder.passages(self.chunks().drop("embedding"))
+        chunks.write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/chunks")
         return Store(self.spark, folder)
 
     def without(self, removed: DataFrame, folder: str) -> Store:

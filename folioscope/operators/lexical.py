@@ -21,12 +21,14 @@ from folioscope.operators.blocks import Lookup
 from folioscope.session import materialise
 
 SCORE_DIGITS = 6
+BUCKETS = 256
 
 
 @dataclass(frozen=True)
 class TermIndex:
     postings: DataFrame  # chunk_id, length, term, tf
     lengths: DataFrame  # chunk_id, length
+    buckets: int | None = None  # term partitions of a stored index
 
     def totals(self) -> tuple[int, float]:
         """Number of chunks and their mean length: two numbers, read once."""
@@ -36,23 +38,46 @@ class TermIndex:
     def document_frequency(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
-    def save(self, folder: str) -> None:
-        """Stores the index. Sorting by term within files lets a search skip row
-        groups that hold none of its terms; the salt keeps a stop word's postings
-        in several files."""
-        keyed = self.postings.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(32)))
+    def save(self, folder: str, buckets: int = BUCKETS) -> None:
+        """Stores the index with its postings partitioned by a hash of the term.
+
+        A search then opens only the partitions its terms fall into. The salt
+        spreads a partition over several files, because a stop word's postings
+        are a large part of the index.
+        """
+        placed = self.postings.withColumn("bucket", _bucket(buckets))
+        placed = placed.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(32)))
         (
-            keyed.repartitionByRange("term", "_salt")
-            .sortWithinPartitions("term", "chunk_id")
+            placed.repartition("bucket", "_salt")
             .drop("_salt")
+            .sortWithinPartitions("bucket", "term")
             .write.mode("overwrite")
+            .partitionBy("bucket")
             .parquet(f"{folder}/postings")
         )
         self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
 
     @staticmethod
-    def load(spark: SparkSession, folder: str) -> TermIndex:
-        return TermIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"))
+    def load(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> TermIndex:
+        return TermIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), buckets)
+
+    def restricted(self, terms: DataFrame, extent: Extent) -> TermIndex:
+        """The part of a stored index a batch needs.
+
+        The partitions come from the batch's terms, of which there are never more
+        than `buckets`, as literals, so the others are not even listed.
+        """
+        needed = self.postings
+        if self.buckets:
+            wanted = [r["b"] for r in terms.select(_bucket(self.buckets).alias("b")).distinct().collect()]
+            needed = needed.where(F.col("bucket").isin(wanted))
+        vocabulary = terms.select("term").distinct()
+        kept = spread_join(needed, vocabulary, ["term"], extent.fits(copies=2), ["chunk_id"], how="left_semi")
+        return TermIndex(materialise(kept.select("chunk_id", "length", "term", "tf")), self.lengths)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> TermIndex:
@@ -180,7 +205,7 @@ def search(
         lookup = Lookup.of(terms, "qtf")
         if lookup is not None:
             return top_chunks(_by_blocks(chunks, lookup, limit, library), limit)
-    pruned = index or index_for(chunks, terms, extent)
+    pruned = index.restricted(terms, extent) if index else index_for(chunks, terms, extent)
     total, mean_length = pruned.totals()
     if library:
         stats = library_term_stats(index or build_index(chunks), total)

@@ -1,8 +1,10 @@
 """The papers and chunks tables as folders of parquet, one partition per batch.
 
-Chunks are written before papers, and a chunk is only visible when its paper is
-in the papers table of the same batch. A batch therefore appears as a whole, and
-writing it again after a failure replaces its partition instead of doubling it.
+Chunks are written before papers, and the chunks of a batch are only visible once
+its papers are there. A batch therefore appears as a whole, and writing it again
+after a failure replaces its partition instead of doubling it. Visibility is
+decided per batch, so reading the chunks compares batch numbers and never joins
+chunks with papers.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ class Store:
         return self._read("papers", PAPERS)
 
     def chunks(self) -> DataFrame:
-        """Chunks of stored papers; those of an unfinished batch are not there."""
-        committed = self.papers().select("paper_id", "batch")
-        return self._read("chunks", CHUNKS).join(committed, ["paper_id", "batch"], "left_semi")
+        """Chunks of finished batches."""
+        committed = self.papers().select("batch").distinct()
+        return self._read("chunks", CHUNKS).join(committed, "batch", "left_semi")
 
     def stored_ids(self) -> DataFrame:
         return self.papers().select("paper_id").distinct()

@@ -2,7 +2,7 @@
 
 The engine tokenises; each task then looks the tokens up in the batch's
 vocabulary and keeps one compact row per chunk. Scoring multiplies blocks of
-chunk-by-term weights with the term-by-question matrix and keeps the best few per
+chunk-by-term weights with term-by-question matrices and keeps the best few per
 question, so neither postings nor (question, chunk) pairs are ever shuffled.
 """
 
@@ -18,35 +18,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.constants import BM25_B, BM25_K1
-from folioscope.functions.sizing import BROADCAST_LIMIT
-from folioscope.operators.dense import RESULT, _merge, _rows, _round
+from folioscope.operators.dense import RESULT, Best, _round
 
 COUNTED = "chunk_id long, length long, ids array<int>, counts array<int>"
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 1024  # chunks per block, fewer when the vocabulary is wide
+BLOCK_CELLS = 8_000_000
+QUERY_COLUMNS = 256  # questions scored at a time
 
 
 @dataclass(frozen=True)
 class Lookup:
-    """The terms a batch of questions uses, and how often each question uses them."""
+    """The terms a batch of questions uses, and how often each question uses them.
+
+    The usage is kept as (term, question, weight) triples; tasks turn them into
+    matrices for a few questions at a time.
+    """
 
     vocabulary: list[str]
     query_ids: np.ndarray
-    usage: np.ndarray  # terms x questions
+    terms: np.ndarray
+    questions: np.ndarray
+    usage: np.ndarray
 
     @staticmethod
-    def of(pairs: DataFrame, weight: str | None = None) -> Lookup | None:
-        """From `query_id, term[, weight]` rows known to be few; None when the
-        matrix would not fit."""
+    def of(pairs: DataFrame, weight: str | None = None) -> Lookup:
+        """From `query_id, term[, weight]` rows whose size has been measured."""
         rows = pairs.select("query_id", "term", *([weight] if weight else [])).toArrow()
         queries, column = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
         vocabulary = sorted(set(rows["term"].to_pylist()))
-        if len(vocabulary) * len(queries) * 8 > BROADCAST_LIMIT:
-            return None
-        usage = np.zeros((len(vocabulary), len(queries)))
-        if rows.num_rows:
-            row = pc.index_in(rows["term"], value_set=pa.array(vocabulary)).to_numpy()
-            usage[row, column] = rows[weight].to_numpy() if weight else 1.0
-        return Lookup(vocabulary, queries.astype(np.int64), usage)
+        place = pc.index_in(rows["term"], value_set=pa.array(vocabulary, pa.string())).to_numpy()
+        usage = rows[weight].to_numpy().astype(float) if weight else np.ones(rows.num_rows)
+        by_question = np.argsort(column, kind="stable")
+        return Lookup(
+            vocabulary,
+            queries.astype(np.int64),
+            place[by_question].astype(np.int64),
+            column[by_question],
+            usage[by_question],
+        )
 
 
 def counted(chunks: DataFrame, words: Column, vocabulary: list[str]) -> DataFrame:
@@ -87,31 +96,47 @@ def totals(rows: DataFrame, terms: int) -> tuple[int, float, np.ndarray]:
     return int(row["n"]), float(row["mean"] or 0.0), frequency
 
 
-def best(rows: DataFrame, query_ids: np.ndarray, weights: np.ndarray, k: int, mean_length: float | None) -> DataFrame:
+def best(rows: DataFrame, lookup: Lookup, weights: np.ndarray, k: int, mean_length: float | None) -> DataFrame:
     """The `k` best chunks per question and task as `query_id, chunk_id, score`.
 
-    With a mean length the counts are damped as in BM25, without one they are
-    used as they are.
+    `weights` is the weight of each term. With a mean length the counts are
+    damped as in BM25, without one they are used as they are.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((query_ids, weights))
+    value = lookup.usage * weights[lookup.terms]
+    starts = np.searchsorted(lookup.questions, np.arange(0, len(lookup.query_ids) + QUERY_COLUMNS, QUERY_COLUMNS))
+    shared = rows.sparkSession.sparkContext.broadcast(
+        (lookup.query_ids, lookup.terms, lookup.questions, value, starts, len(weights))
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, matrix = shared.value
-        kept: dict = {}
+        asked, term, question, weight, start, width = shared.value
+        kept = Best(asked, k)
+        height = int(np.clip(BLOCK_CELLS // max(1, width), 64, BLOCK_ROWS))
         for whole in batches:
-            for start in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(start, BLOCK_ROWS)
-                ids, counts = batch.column("ids"), batch.column("counts")
-                chunk = np.repeat(np.arange(batch.num_rows), np.diff(ids.offsets.to_numpy()))
-                value = counts.flatten().to_numpy().astype(np.float64)
-                if mean_length:
-                    length = batch.column("length").to_numpy()[chunk]
-                    norm = BM25_K1 * (1.0 - BM25_B + BM25_B * length / mean_length)
-                    value = value * (BM25_K1 + 1.0) / (value + norm)
-                block = np.zeros((batch.num_rows, len(matrix)))
-                block[chunk, ids.flatten().to_numpy()] = value
-                _merge(kept, asked, _round(matrix.T @ block.T), batch.column("chunk_id").to_numpy(), k)
-        if kept:
-            yield _rows(kept)
+            for first in range(0, whole.num_rows, height):
+                batch = whole.slice(first, height)
+                block = _damped(batch, width, mean_length)
+                ids = batch.column("chunk_id").to_numpy()
+                for part in range(len(start) - 1):
+                    low, high = start[part], start[part + 1]
+                    at = slice(part * QUERY_COLUMNS, min((part + 1) * QUERY_COLUMNS, len(asked)))
+                    used, row = np.unique(term[low:high], return_inverse=True)
+                    matrix = np.zeros((at.stop - at.start, len(used)))
+                    matrix[question[low:high] - at.start, row] = weight[low:high]
+                    kept.add(_round(matrix @ block[:, used].T), ids, at)
+        yield kept.rows()
 
     return rows.mapInArrow(score, RESULT)
+
+
+def _damped(batch: pa.RecordBatch, width: int, mean_length: float | None) -> np.ndarray:
+    """Chunks x terms: counts, damped by repetition and relative length."""
+    ids, counts = batch.column("ids"), batch.column("counts")
+    chunk = np.repeat(np.arange(batch.num_rows), np.diff(ids.offsets.to_numpy()))
+    value = counts.flatten().to_numpy().astype(np.float64)
+    if mean_length:
+        length = batch.column("length").to_numpy()[chunk]
+        value = value * (BM25_K1 + 1.0) / (value + BM25_K1 * (1.0 - BM25_B + BM25_B * length / mean_length))
+    block = np.zeros((batch.num_rows, width))
+    block[chunk, ids.flatten().to_numpy()] = value
+    return block

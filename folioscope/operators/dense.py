@@ -31,38 +31,50 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of one query: score descending, then id."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        kept = np.flatnonzero(scores >= floor)
-    else:
-        kept = np.arange(len(scores))
-    return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
-
-
-def _merge(best: dict, query_ids: np.ndarray, similarity: np.ndarray, ids: np.ndarray, k: int) -> None:
-    """Folds a block of similarities (queries x chunks) into the running best."""
-    for row, query in enumerate(query_ids):
-        seen = best.get(query)
-        scores, candidates = similarity[row], ids
-        if seen is not None:
-            scores = np.concatenate([seen[0], scores])
-            candidates = np.concatenate([seen[1], candidates])
-        chosen = _best(scores, candidates, k)
-        best[query] = (scores[chosen], candidates[chosen])
-
-
-def _rows(best: dict) -> pa.RecordBatch:
-    counts = [len(scores) for scores, _ in best.values()]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.repeat(np.fromiter(best, dtype=np.int64, count=len(best)), counts)),
-            pa.array(np.concatenate([ids for _, ids in best.values()]).astype(np.int64)),
-            pa.array(np.concatenate([scores for scores, _ in best.values()])),
-        ],
-        names=["query_id", "chunk_id", "score"],
-    )
+class Best:
+    """The best `k` chunks of every query of a block, updated block by block.
+
+    Order is score descending, then identifier. Scores are rounded to
+    `SCORE_DIGITS`, so scaled scores and positions make one exact integer key.
+    """
+
+    def __init__(self, query_ids: np.ndarray, k: int):
+        self.query_ids, self.k = query_ids, k
+        self.scores = np.full((len(query_ids), 0), -np.inf)
+        self.ids = np.zeros((len(query_ids), 0), dtype=np.int64)
+
+    def add(self, similarity: np.ndarray, ids: np.ndarray, at: slice = slice(None)) -> None:
+        """Takes in similarities (queries x chunks) of the queries at `at`."""
+        by_id = np.argsort(ids, kind="stable")
+        ids, similarity = ids[by_id], similarity[:, by_id]
+        n = len(ids)
+        if n > self.k:
+            key = np.rint(similarity * 10**SCORE_DIGITS).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+            chosen = np.argpartition(key, n - self.k, axis=1)[:, n - self.k :]
+            similarity, new = np.take_along_axis(similarity, chosen, 1), ids[chosen]
+        else:
+            new = np.broadcast_to(ids, similarity.shape)
+        scores = np.concatenate([self.scores[at], similarity], axis=1)
+        candidates = np.concatenate([self.ids[at], new], axis=1)
+        order = np.lexsort((candidates, -scores), axis=1)[:, : self.k]
+        scores, candidates = np.take_along_axis(scores, order, 1), np.take_along_axis(candidates, order, 1)
+        if at == slice(None):
+            self.scores, self.ids = scores, candidates
+            return
+        missing = scores.shape[1] - self.scores.shape[1]
+        if missing > 0:
+            rows = len(self.query_ids)
+            self.scores = np.concatenate([self.scores, np.full((rows, missing), -np.inf)], axis=1)
+            self.ids = np.concatenate([self.ids, np.zeros((rows, missing), dtype=np.int64)], axis=1)
+        self.scores[at], self.ids[at] = scores, candidates
+
+    def rows(self) -> pa.RecordBatch:
+        real = np.isfinite(self.scores)
+        owners = np.broadcast_to(self.query_ids[:, None], self.scores.shape)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(owners[real]), pa.array(self.ids[real]), pa.array(self.scores[real])],
+            names=["query_id", "chunk_id", "score"],
+        )
 
 
 def _round(similarity: np.ndarray) -> np.ndarray:
@@ -77,13 +89,12 @@ def _by_broadcast(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, vectors = shared.value
-        best: dict = {}
+        best = Best(wanted, k)
         for batch in batches:
             if batch.num_rows and len(wanted):
                 similarity = _round(vectors @ _matrix(batch.column("embedding")).T)
-                _merge(best, wanted, similarity, batch.column("chunk_id").to_numpy(), k)
-        if best:
-            yield _rows(best)
+                best.add(similarity, batch.column("chunk_id").to_numpy())
+        yield best.rows()
 
     return corpus.mapInArrow(nearest, RESULT)
 
@@ -105,14 +116,11 @@ def _by_blocks(corpus: DataFrame, queries: DataFrame, k: int, extent: Extent, ch
     )
 
     def nearest(some: pa.Table, asked: pa.Table) -> pa.Table:
-        best: dict = {}
+        best = Best(asked["query_id"].to_numpy(), k)
         if some.num_rows and asked.num_rows:
             similarity = _round(_matrix(asked["embedding"]) @ _matrix(some["embedding"]).T)
-            _merge(best, asked["query_id"].to_numpy(), similarity, some["chunk_id"].to_numpy(), k)
-        if not best:
-            return pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()),
-                             "score": pa.array([], pa.float64())})
-        return pa.Table.from_batches([_rows(best)])
+            best.add(similarity, some["chunk_id"].to_numpy())
+        return pa.Table.from_batches([best.rows()])
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(nearest, RESULT)
 

@@ -201,10 +201,8 @@ def search(
     """
     extent = extent or measure(questions.select("query_id", "text"))
     terms = question_terms(questions)
-    if index is None and extent.fits(copies=2):
-        lookup = Lookup.of(terms, "qtf")
-        if lookup is not None:
-            return top_chunks(_by_blocks(chunks, lookup, limit, library), limit)
+    if index is None and extent.fits(per_row=16, copies=24):
+        return top_chunks(_by_blocks(chunks, Lookup.of(terms, "qtf"), limit, library), limit)
     pruned = index.restricted(terms, extent) if index else index_for(chunks, terms, extent)
     total, mean_length = pruned.totals()
     if library:
@@ -215,7 +213,7 @@ def search(
 
 
 def _by_blocks(chunks: DataFrame, lookup: Lookup, limit: int, library: bool) -> DataFrame:
-    """Scores a batch whose term-by-question matrix is small."""
+    """Scores a batch small enough for every task to hold its terms."""
     rows = materialise(blocks.counted(chunks, tokens(F.col("text")), lookup.vocabulary))
     total, mean_length, df = blocks.totals(rows, len(lookup.vocabulary))
     if library:
@@ -223,7 +221,7 @@ def _by_blocks(chunks: DataFrame, lookup: Lookup, limit: int, library: bool) ->
         idf = np.where(idf < 0, library_floor(chunks, total), idf)
     else:
         idf = np.log1p((total - df + 0.5) / (df + 0.5))
-    return blocks.best(rows, lookup.query_ids, lookup.usage * idf[:, None], limit, mean_length)
+    return blocks.best(rows, lookup, idf, limit, mean_length)
 
 
 def library_floor(chunks: DataFrame, total: int) -> float:

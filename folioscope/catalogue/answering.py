@@ -10,7 +10,6 @@ from folioscope.catalogue.inputs import (
     DENSE_SCORES,
     FUSED,
     INDEX_CTES,
-    chunk_table,
     over,
     question_table,
     vector_table,

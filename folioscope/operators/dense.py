@@ -22,6 +22,9 @@ SCORE_DIGITS = 6
 RESULT = "query_id long, chunk_id long, score double"
 QUERY_BLOCK = 4096
 CORPUS_BLOCK = 65536
+# Similarities held at once by a task: 32 MB.
+QUERY_PIECE = 2048
+CHUNK_PIECE = 2048
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -43,7 +46,7 @@ class Best:
         self.scores = np.full((len(query_ids), 0), -np.inf)
         self.ids = np.zeros((len(query_ids), 0), dtype=np.int64)
 
-    def add(self, similarity: np.ndarray, ids: np.ndarray, at: slice = slice(None)) -> None:
+    def add(self, similarity: np.ndarray, ids: np.ndarray, at: slice) -> None:
         """Takes in similarities (queries x chunks) of the queries at `at`."""
         by_id = np.argsort(ids, kind="stable")
         ids, similarity = ids[by_id], similarity[:, by_id]
@@ -58,9 +61,6 @@ class Best:
         candidates = np.concatenate([self.ids[at], new], axis=1)
         order = np.lexsort((candidates, -scores), axis=1)[:, : self.k]
         scores, candidates = np.take_along_axis(scores, order, 1), np.take_along_axis(candidates, order, 1)
-        if at == slice(None):
-            self.scores, self.ids = scores, candidates
-            return
         missing = scores.shape[1] - self.scores.shape[1]
         if missing > 0:
             rows = len(self.query_ids)
@@ -82,6 +82,15 @@ def _round(similarity: np.ndarray) -> np.ndarray:
     return np.round(similarity, SCORE_DIGITS) + 0.0
 
 
+def _add(best: Best, queries: np.ndarray, chunks: np.ndarray, ids: np.ndarray) -> None:
+    """Compares all queries with all chunks of a batch, a bounded piece at a time."""
+    for q in range(0, len(queries), QUERY_PIECE):
+        at = slice(q, min(q + QUERY_PIECE, len(queries)))
+        for c in range(0, len(chunks), CHUNK_PIECE):
+            part = slice(c, c + CHUNK_PIECE)
+            best.add(_round(queries[at] @ chunks[part].T), ids[part], at)
+
+
 def _by_broadcast(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     block = queries.toArrow()
     query_ids = block["query_id"].to_numpy().astype(np.int64)
@@ -92,8 +101,7 @@ def _by_broadcast(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         best = Best(wanted, k)
         for batch in batches:
             if batch.num_rows and len(wanted):
-                similarity = _round(vectors @ _matrix(batch.column("embedding")).T)
-                best.add(similarity, batch.column("chunk_id").to_numpy())
+                _add(best, vectors, _matrix(batch.column("embedding")), batch.column("chunk_id").to_numpy())
         yield best.rows()
 
     return corpus.mapInArrow(nearest, RESULT)
@@ -118,8 +126,7 @@ def _by_blocks(corpus: DataFrame, queries: DataFrame, k: int, extent: Extent, ch
     def nearest(some: pa.Table, asked: pa.Table) -> pa.Table:
         best = Best(asked["query_id"].to_numpy(), k)
         if some.num_rows and asked.num_rows:
-            similarity = _round(_matrix(asked["embedding"]) @ _matrix(some["embedding"]).T)
-            best.add(similarity, some["chunk_id"].to_numpy())
+            _add(best, _matrix(asked["embedding"]), _matrix(some["embedding"]), some["chunk_id"].to_numpy())
         return pa.Table.from_batches([best.rows()])
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(nearest, RESULT)

@@ -114,7 +114,10 @@ def test_nearest_neighbours_by_broadcast_and_by_blocks(spark, monkeypatch):
     assert found(dense.search(rows, asked, 7)) == wanted
     monkeypatch.setattr(dense, "QUERY_BLOCK", 90)
     monkeypatch.setattr(dense, "CORPUS_BLOCK", 70)
+    monkeypatch.setattr(dense, "QUERY_PIECE", 40)
+    monkeypatch.setattr(dense, "CHUNK_PIECE", 13)
     assert found(dense.search(rows, asked, 7, by_blocks=True)) == wanted
+    assert found(dense.search(rows, asked, 7)) == wanted
 
 
 def test_spread_join_keeps_every_row_of_a_hot_key(spark):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import quality, urls
+from folioscope.llm import bpe, chat, packing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,54 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *words, "base_failed", "kept", *quality.METRICS, "cutoff_level")
 
 
+def tokenizer() -> str:
+    """The public byte-level tokenizer of the contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"), tokenizer(), capacity=2048, end_id=0)
+
+
+@query()
+def op6_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(read(spark, folder, "documents"), tokenizer())
+
+
+@query(
+    """
+    WITH rows AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), marked AS (
+        SELECT *, length(text) + length(text) - length(replace(text, chr(92), ''))
+            + (length(text) - length(replace(text, '<s>', ''))) // 3
+            + (length(text) - length(replace(text, '</s>', ''))) // 4
+            + (length(text) - length(replace(text, '[INST]', ''))) // 6
+            + (length(text) - length(replace(text, '[/INST]', ''))) // 7
+            + (length(text) - length(replace(text, '<|endoftext|>', ''))) // 13 + length(role) AS chars
+        FROM rows
+    )
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(chars + 17) + 3 AS BIGINT) AS formatted_chars
+    FROM marked GROUP BY conv_id
+    """
+)
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    planted = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role")
+    rows = rows.unionByName(extra.withColumn("text", F.lit(planted)))
+    return chat.read_back(chat.format_turns(rows, tokenizer()), tokenizer())
+
+
 URL_RULES = [
     urls.Rule("allow", "org", "/"),
     urls.Rule("block", "example.org", "/es/"),

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.session import checkpoint_folder
 
@@ -37,9 +37,9 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`mapInArrow` with the barrier-free default; kept here so that operators read alike."""
-    return df.mapInArrow(work, schema)
+def extended(df: DataFrame, fields: str) -> T.StructType:
+    """The schema of a table with more fields after its own, given as in a table definition."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
 
 
 def mix(values: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.sizing import BROADCAST_LIMIT
-from folioscope.llm.common import BLANKS, stored
+from folioscope.llm.common import BLANKS, extended, stored
 
 #: What a text is measured by, with the least distance a cutoff keeps from the bulk of its group and whether small
 #: values are as suspicious as large ones.
@@ -40,7 +40,6 @@ ACCURACY = 0.01
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 SYMBOLS = "#*$%&|<>"
 BLANK_CHARS = " \t\n\v\f\r"
-_SCHEMA = pa.schema([(name, pa.int64()) for name in COUNTS])
 
 
 def measured(text: str | None) -> tuple[int, ...]:
@@ -77,8 +76,7 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
             )
 
     given = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col("text").alias("_text"))
-    schema = reduce(lambda s, name: s.add(name, "long"), COUNTS, given.drop("_text").schema)
-    return given.mapInArrow(work, schema)
+    return given.mapInArrow(work, extended(given.drop("_text"), ", ".join(f"{name} long" for name in COUNTS)))
 
 
 def with_metrics(counts: DataFrame) -> DataFrame:

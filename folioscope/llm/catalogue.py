@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, packing, quality, urls
+from folioscope.llm import bpe, chat, packing, quality, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,6 +82,29 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows, tokenizer()), tokenizer())
 
 
+@query(
+    """
+    WITH RECURSIVE valid AS (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b
+        ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+    ), reach AS (
+        SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+    ), least AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id),
+    counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(other, e.vec_id)) AS component_id,
+        e.vec_id = least(e.vec_id, coalesce(other, e.vec_id)) AS kept
+    FROM embeddings e LEFT JOIN counted USING (vec_id) LEFT JOIN least USING (vec_id)
+    """
+)
+def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings")
+    return vectors.near_duplicates(rows, "vec_id", "embedding", threshold=0.95)
+
+
 URL_RULES = [
     urls.Rule("allow", "org", "/"),
     urls.Rule("block", "example.org", "/es/"),

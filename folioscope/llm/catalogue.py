@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, packing, quality, urls, vectors
+from folioscope.llm import bpe, chat, jaccard, packing, quality, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +46,11 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), tokenizer(), capacity=2048, end_id=0)
 
 
+@query()
+def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.linked(read(spark, folder, "documents"), width=4, percent=85)
+
+
 @query()
 def op6_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), tokenizer())

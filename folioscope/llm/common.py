@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.functions.sizing import BROADCAST_LIMIT
 from folioscope.session import checkpoint_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,3 +95,8 @@ def long_lists(arrays: list[np.ndarray]) -> pa.Array:
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
     flat = np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
+def small(df: DataFrame, bytes_per_row: int = 64, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """A stored table, marked for broadcast if its counted rows fit; beyond that the join shuffles and splits hot keys."""
+    return F.broadcast(df) if df.count() * bytes_per_row <= limit else df

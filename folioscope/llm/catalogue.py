@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, jaccard, packing, quality, urls, vectors
+from folioscope.llm import bpe, chat, jaccard, lines, packing, quality, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,11 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.duplicates(read(spark, folder, "documents"), percent=80)
+
+
 @query()
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(read(spark, folder, "documents"))

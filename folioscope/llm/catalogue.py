@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, jaccard, lines, packing, quality, urls, vectors
+from folioscope.llm import bpe, chat, jaccard, lines, packing, passages, quality, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,6 +61,11 @@ def op6_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), tokenizer())
 
 
+@query()
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated(read(spark, folder, "documents"), least_words=50, percent=80)
+
+
 @query(
     """
     WITH rows AS (

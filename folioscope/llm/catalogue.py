@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, jaccard, lines, packing, passages, quality, urls, vectors
+from folioscope.llm import bpe, chat, jaccard, lines, ngrams, packing, passages, quality, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return ngrams.score(read(spark, folder, "documents"), held_out, order=2)
+
+
 @query()
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.duplicates(read(spark, folder, "documents"), percent=80)

@@ -18,22 +18,22 @@ training documents, probabilities are uniform over one word. An empty table give
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioscope.llm.common import WordHashes, extended, mix, stored, word_hashes
+from folioscope.llm.common import WordHashes, discard, extended, mix, stored, word_hashes
 from folioscope.llm.trie import Trie, restored
 
 #: Hashes that stand for the end of a text and for what is before its start (fixed, away from any word by chance only).
 END, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-BLOCK_TOKENS, SHARD_GRAMS, HOT = 400_000, 1_000_000, 200_000
+BLOCK_TOKENS, SHARD_GRAMS, HOT = 1_200_000, 1_000_000, 200_000
 #: Weight of the shorter context, by length of the n-gram.
 WEIGHT = {2: 100.0, 3: 10.0, 4: 5.0}
 
@@ -44,11 +44,35 @@ TOTALS = ", known long, total long, size long"
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """Numbers, compressed byte plane by byte plane."""
+    values = np.ascontiguousarray(values)
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.compress(planes.tobytes(), 3)
 
 
 def _open(packed: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), dtype=kind)
+    planes = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pack_grams(grams: np.ndarray) -> bytes:
+    """Sorted n-grams: first words as steps, last words as steps within a context."""
+    own = grams.copy()
+    own[1:, 0] -= grams[:-1, 0]
+    same = (grams[1:, :-1] == grams[:-1, :-1]).all(axis=1)
+    own[1:, -1] -= np.where(same, grams[:-1, -1], 0)
+    return _pack(own.T.ravel())
+
+
+def _open_grams(packed: bytes, order: int) -> np.ndarray:
+    own = _open(packed, np.int64).reshape(order, -1).T.copy()
+    own[:, 0] = np.cumsum(own[:, 0])
+    start = np.ones(len(own), dtype=bool)
+    start[1:] = (own[1:, :-1] != own[:-1, :-1]).any(axis=1)
+    run = np.cumsum(own[:, -1])
+    before = (run - own[:, -1])[np.flatnonzero(start)]
+    own[:, -1] = run - before[np.cumsum(start) - 1]
+    return own
 
 
 def _batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
@@ -78,7 +102,7 @@ def blocks(docs: DataFrame, held_out: Column, order: int) -> DataFrame:
             training = np.repeat(~np.array(held), sizes + order - 1)
             counts = np.bincount(tokens[training], minlength=len(words))
             packed = (sizes, np.array(held), tokens.astype(np.int32), words, counts)
-            return (task << 32 | made, order - 1, zlib.compress(pickle.dumps(ids), 1), *map(_pack, packed))
+            return (task << 32 | made, order - 1, zstandard.compress(pickle.dumps(ids), 3), *map(_pack, packed))
 
         for batch in batches:
             out = []
@@ -104,7 +128,7 @@ class _Block:
 
     def __init__(self, row: dict):
         self.number, self.lead = row["block"], row["first"]
-        self.ids = pickle.loads(zlib.decompress(row["ids"]))
+        self.ids = pickle.loads(zstandard.decompress(row["ids"]))
         kinds = (("sizes", np.int32), ("held", np.bool_), ("tokens", np.int32))
         self.sizes, self.held, self.tokens = (_open(row[name], kind) for name, kind in kinds)
         padded = self.sizes.astype(np.int64) + self.lead
@@ -134,9 +158,7 @@ def _send(block: _Block, keys: np.ndarray, route: np.ndarray, contexts: np.ndarr
     work out again (`_order`), so answers carry no keys."""
     out = []
     for shard, chosen in _order(keys, route, shards):
-        own = keys[chosen]
-        own = np.concatenate([np.diff(own[:, :1], axis=0, prepend=0), own[:, 1:]], axis=1)
-        out.append((shard, block.number, _pack(own.T), _pack(contexts[chosen]), _pack(counts[chosen])))
+        out.append((shard, block.number, _pack_grams(keys[chosen]), _pack(contexts[chosen]), _pack(counts[chosen])))
     return out
 
 
@@ -235,16 +257,12 @@ def _asked(tables: DataFrame, order: int, shards: int) -> DataFrame:
     return tables.mapInArrow(work, REQUESTS)
 
 
-def _answered(asked: DataFrame, order: int, words: int) -> DataFrame:
+def _answered(asked: DataFrame, order: int, words: int, with_counts: bool) -> DataFrame:
     """Counts and quantised probabilities from each shard's trie."""
 
     def answer(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        lists = []
-        for packed in table.column("grams"):
-            grams = _open(packed.as_py(), np.int64).reshape(order, -1).T.copy()
-            grams[:, 0] = np.cumsum(grams[:, 0])
-            lists.append(grams)
+        lists = [_open_grams(packed.as_py(), order) for packed in table.column("grams")]
         counts = np.concatenate([_open(x.as_py(), np.int64) for x in table.column("counts")])
         totals = np.concatenate([_open(x.as_py(), np.int64) for x in table.column("contexts")])
         grams = np.concatenate(lists)
@@ -260,7 +278,7 @@ def _answered(asked: DataFrame, order: int, words: int) -> DataFrame:
         rows = []
         for block, own in zip(table.column("block").to_pylist(), lists, strict=True):
             codes, found = trie.values(trie.find(own))
-            rows.append((block, shard, b"", _pack(found.astype(np.int64)), _pack(codes)))
+            rows.append((block, shard, b"", _pack(found.astype(np.int64)) if with_counts else b"", _pack(codes)))
         return pa.Table.from_batches([_batch(rows, ANSWERS)])
 
     return asked.groupBy("shard").applyInArrow(answer, ANSWERS)
@@ -270,7 +288,8 @@ def _taken(block: _Block, paths: np.ndarray, contexts: np.ndarray, right: list[d
     counts, codes = np.zeros(len(paths), dtype=np.int64), np.zeros(len(paths), dtype=np.uint16)
     given = {r["shard"]: r for r in right}
     for shard, chosen in _order(paths, _routes(paths, contexts), shards):
-        counts[chosen] = _open(given[shard]["counts"], np.int64)
+        if given[shard]["counts"]:
+            counts[chosen] = _open(given[shard]["counts"], np.int64)
         codes[chosen] = _open(given[shard]["codes"], np.uint16)
     return counts, codes
 
@@ -342,10 +361,13 @@ def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
     words = _words_answered(_words_asked(tables, shards), shards)
     row = words.agg(F.sum("known"), F.sum("total"), F.max("size")).first()
     known, total, size = (int(value or 0) for value in row)
-    tables = _numbered(tables, words, shards)
+    first, tables = tables, _numbered(tables, words, shards)
+    discard(first)
+    discard(words)
     for n in range(2, order):
-        tables = _merged(tables, _answered(_asked(tables, n, shards), n, size * shards), n, shards)
-    answers = _answered(_asked(tables, order, shards), order, size * shards)
+        first, tables = tables, _merged(tables, _answered(_asked(tables, n, shards), n, size * shards, True), n, shards)
+        discard(first)
+    answers = _answered(_asked(tables, order, shards), order, size * shards, False)
     scores = _scored(tables, answers, docs.select("doc_id"), order, shards, total, known)
     return scores.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,13 @@ def extended(df: DataFrame, fields: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of so many rows, so that what is made of one stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (the finaliser of splitmix64)."""
     values = values.astype(np.uint64, copy=True)
@@ -65,7 +73,7 @@ def mix(values: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word given as bytes, remembered up to a number of words (the results never depend on it)."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

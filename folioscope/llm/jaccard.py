@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WordHashes, extended, long_lists, mix, small, stored, windows, word_hashes
+from folioscope.llm.common import WordHashes, extended, long_lists, mix, parts, small, stored, windows, word_hashes
 from folioscope.llm.graph import components
 
 SKETCH_BITS = 512
@@ -97,7 +97,7 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bands, seen = WordHashes(), Bands(percent), set()
         nothing = np.empty(0, dtype=np.uint64)
-        for batch in batches:
+        for batch in parts(batches):
             sizes, first, second, sketches, keys = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text, width, known)
@@ -128,7 +128,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in parts(batches):
             found = [shingles(text, width, known) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), long_lists(found)], names=["doc_id", "_set"])
 

@@ -78,8 +78,12 @@ class Automaton:
         self.head: dict[int, int] = {}
         self.tail: dict[int, int] = {}
         self.born: dict[int, int] = {}
+        unmade: set[int] = set()
         for time, (left, right) in enumerate(vocabulary.merges):
             u, v, merged = ids[left], ids[right], ids[left + right]
+            if u in unmade or v in unmade or not self._arc(u, v):
+                unmade.add(merged)  # no path holds this pair when its turn comes
+                continue
             self.cut[u << 32 | v] = time
             self.head[merged], self.tail[merged], self.born[merged] = u, v, time
         #: Every prefix of a token: its id, or none yet.
@@ -87,7 +91,7 @@ class Automaton:
         for token in raw.values():
             for end in range(1, len(token)):
                 self.steps.setdefault(token[:end], _NONE)
-        self.steps.update({raw[token]: number for token, number in ids.items()})
+        self.steps.update({raw[token]: number for token, number in ids.items() if number not in unmade})
         self.known: dict[int, bool] = {}
         self.ends: dict[tuple[int, str], bytes | None] = {}
         self.packed = [number.to_bytes(4, "little") for number in range(vocabulary.size)]

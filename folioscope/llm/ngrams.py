@@ -275,10 +275,15 @@ def _answered(asked: DataFrame, order: int, words: int, with_counts: bool) -> Da
         seen = summed > 0
         share = summed[seen] / (totals[sorting][first][seen] + WEIGHT[order])
         trie = Trie(ordered[first][seen], words, share, summed[seen])
-        rows = []
+        # Blocks ask for the same n-grams; each is searched for once.
+        number = np.empty(len(grams), dtype=np.int64)
+        number[sorting] = np.cumsum(new) - 1
+        codes, found = trie.values(trie.find(ordered[first]))
+        rows, start = [], 0
         for block, own in zip(table.column("block").to_pylist(), lists, strict=True):
-            codes, found = trie.values(trie.find(own))
-            rows.append((block, shard, b"", _pack(found.astype(np.int64)) if with_counts else b"", _pack(codes)))
+            mine = number[start : start + len(own)]
+            start += len(own)
+            rows.append((block, shard, b"", _pack(found[mine]) if with_counts else b"", _pack(codes[mine])))
         return pa.Table.from_batches([_batch(rows, ANSWERS)])
 
     return asked.groupBy("shard").applyInArrow(answer, ANSWERS)

@@ -16,6 +16,9 @@ import tempfile
 import numpy as np
 
 _U = np.uint64
+#: Ones in each byte, and the place of each byte's first, second, ... one.
+_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
+_PLACE = np.argsort(~np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool), axis=1, kind="stable")
 #: Logarithms (base 10) from -FLOOR to 0 in steps of FLOOR / STEPS; code 0 means none.
 FLOOR, STEPS = 9.0, 65534
 
@@ -87,9 +90,13 @@ class Monotone:
         for start in range(0, len(ranks), 1 << 16):
             part = ranks[start : start + (1 << 16)]
             word = np.searchsorted(before, part, side="right") - 1
-            bits = np.unpackbits(words[word], axis=1, bitorder="little") == bit
-            nth = np.cumsum(bits, axis=1, dtype=np.int16) == (part - before[word] + 1)[:, None]
-            out[start : start + len(part)] = word * 64 + nth.argmax(axis=1)
+            own = words[word] if bit else ~words[word]
+            counts = _ONES[own]
+            upto = np.cumsum(counts, axis=1)
+            rank = part - before[word]
+            byte = (upto <= rank[:, None]).sum(axis=1)
+            at = np.arange(len(part)), byte
+            out[start : start + len(part)] = word * 64 + byte * 8 + _PLACE[own[at], rank - upto[at] + counts[at]]
         return out
 
     def at(self, numbers: np.ndarray) -> np.ndarray:

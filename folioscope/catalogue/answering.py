@@ -110,14 +110,16 @@ nums AS (
 ),
 flat AS (
   SELECT query_id, conv_id, refused, sentences, len(list_filter(n, lambda x: len(x) = 0)) AS uncited,
-    list_transform(flatten(n), lambda d: TRY_CAST(d AS BIGINT)) AS f,
+    flatten(n) AS f,
     (SELECT count(*) FROM passages p WHERE p.conv_id = nums.conv_id) AS known
   FROM nums
 ),
 chk AS (
   SELECT query_id, conv_id, refused, sentences::BIGINT AS sentences, uncited::BIGINT AS uncited,
-    list_sort(list_distinct(list_filter(f, lambda x: coalesce(x BETWEEN 1 AND known, false)))) AS cited,
-    list_filter(f, lambda x: NOT coalesce(x BETWEEN 1 AND known, false)) AS invalid,
+    list_sort(list_distinct(list_transform(list_filter(f, lambda x: coalesce(TRY_CAST(x AS BIGINT) BETWEEN 1 AND known, false)),
+      lambda x: TRY_CAST(x AS BIGINT)))) AS cited,
+    list_transform(list_filter(f, lambda x: NOT coalesce(TRY_CAST(x AS BIGINT) BETWEEN 1 AND known, false)),
+      lambda x: regexp_replace(x, '^0+([0-9])', '\1')) AS invalid,
     CASE WHEN refused OR sentences = 0 THEN 1.0 ELSE 1.0 - uncited::DOUBLE / sentences END::DOUBLE AS grounded
   FROM flat
 )
@@ -250,7 +252,7 @@ def citation_extract(spark, folder):
     len(cited)::BIGINT AS citations, array_to_string(cited, ',') AS cited,
     coalesce((SELECT string_agg(paper_id || '/' || role || '/' || turn, ' ' ORDER BY number) FROM passages p
       WHERE p.conv_id = chk.conv_id AND list_contains(chk.cited, p.number)), '') AS places,
-    array_to_string(list_transform(invalid, lambda x: coalesce(x::VARCHAR, 'none')), ',') AS invalid FROM chk"""
+    array_to_string(invalid, ',') AS invalid FROM chk"""
 )
 def citation_check(spark, folder):
     text = "transform(citations, c -> concat(c.paper_id, '/', c.section, '/', c.paragraph))"
@@ -262,7 +264,7 @@ def citation_check(spark, folder):
         F.size("citations").cast("long").alias("citations"),
         F.expr("array_join(transform(citations, c -> string(c.number)), ',')").alias("cited"),
         F.expr(f"array_join({text}, ' ')").alias("places"),
-        F.expr("array_join(transform(invalid, n -> coalesce(string(n), 'none')), ',')").alias("invalid"),
+        F.array_join("invalid", ",").alias("invalid"),
     )
 
 

@@ -140,7 +140,7 @@ def stored_pages(spark, folder) -> Store:
     store.write(papers.where(~odd), ready.where(~odd), 1)
     store.write(papers.where(~odd), ready.where(~odd), 1)
     names = [field.name for field in CHUNKS.fields]
-    ready.select(*names).write.mode("overwrite").parquet(f"{store.folder}/chunks/batch=2")
+    ready.select(*names).write.parquet(f"{store.folder}/chunks/batch=2/attempt=unfinished")
     return store
 
 
@@ -169,7 +169,8 @@ def cascade_delete(spark, folder):
     """Removing papers removes their chunks; none is left without its paper."""
     store = stored_pages(spark, folder)
     removed = store.papers().where(F.pmod(F.substring("paper_id", 5, 20).cast("long"), F.lit(5)) == 0)
-    left = store.without(removed, f"{store.folder}-kept")
+    left = store.copy_to(f"{store.folder}-kept")
+    left.remove(removed)
     orphans = chunking.orphans(left.chunks(), left.papers(), "paper_id").agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     papers = left.papers().agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     return left.chunks().agg(F.count(F.lit(1)).alias("chunks")).select(papers.alias("papers"), "chunks", orphans.alias("orphans"))

@@ -73,14 +73,28 @@ def spread_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def top_ranked(df: DataFrame, keys: list[str], order: list[Column], limit: int, rank: str = "rank") -> DataFrame:
+def rounded(value: Column, digits: int) -> Column:
+    """A double on a decimal grid, exactly as tasks that score blocks put it there."""
+    return F.rint(value * F.lit(10.0**digits)) / F.lit(10.0**digits) + F.lit(0.0)
+
+
+def top_ranked(
+    df: DataFrame, keys: list[str], order: list[Column], limit: int, rank: str = "rank", spread: str | None = None
+) -> DataFrame:
     """First `limit` rows of each group with their 1-based rank.
 
     The filter sits directly on `row_number`, so Spark prunes each partition to
     `limit` rows per group before the shuffle: a hot group never travels whole.
+    Where tasks have pruned their rows already, that removes nothing, and what
+    all tasks hold of a group would meet in one. `spread` names a column whose
+    hash deals such a group over salts first, each cut to `limit`.
     """
     from pyspark.sql import Window
 
+    if spread is not None:
+        dealt = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+        first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = dealt.withColumn("_first", F.row_number().over(first)).where(F.col("_first") <= limit).drop("_salt", "_first")
     window = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit)
     return ranked.withColumn(rank, F.col(rank).cast("long"))

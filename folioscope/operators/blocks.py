@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.constants import BM25_B, BM25_K1
-from folioscope.operators.dense import RESULT, Best, _round
+from folioscope.operators.dense import Best, _round, id_array, id_types
 
-COUNTED = "chunk_id long, length long, ids array<int>, counts array<int>"
+COUNTED = "chunk_id {}, length long, ids array<int>, counts array<int>"
 BLOCK_ROWS = 1024  # chunks per block, fewer when the vocabulary is wide
 BLOCK_CELLS = 8_000_000
 QUERY_COLUMNS = 256  # questions scored at a time
@@ -36,6 +36,7 @@ class Lookup:
 
     vocabulary: list[str]
     query_ids: np.ndarray
+    query_type: str
     terms: np.ndarray
     questions: np.ndarray
     usage: np.ndarray
@@ -44,14 +45,15 @@ class Lookup:
     def of(pairs: DataFrame, weight: str | None = None) -> Lookup:
         """From `query_id, term[, weight]` rows whose size has been measured."""
         rows = pairs.select("query_id", "term", *([weight] if weight else [])).toArrow()
-        queries, column = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+        queries, column = np.unique(id_array(rows["query_id"]), return_inverse=True)
         vocabulary = sorted(set(rows["term"].to_pylist()))
         place = pc.index_in(rows["term"], value_set=pa.array(vocabulary, pa.string())).to_numpy()
         usage = rows[weight].to_numpy().astype(float) if weight else np.ones(rows.num_rows)
         by_question = np.argsort(column, kind="stable")
         return Lookup(
             vocabulary,
-            queries.astype(np.int64),
+            queries,
+            pairs.schema["query_id"].dataType.simpleString(),
             place[by_question].astype(np.int64),
             column[by_question],
             usage[by_question],
@@ -83,8 +85,8 @@ def counted(chunks: DataFrame, words: Column, vocabulary: list[str]) -> DataFram
                 names=["chunk_id", "length", "ids", "counts"],
             )
 
-    tokenised = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), words.alias("words"))
-    return tokenised.mapInArrow(count, COUNTED)
+    tokenised = chunks.select("chunk_id", words.alias("words"))
+    return tokenised.mapInArrow(count, COUNTED.format(chunks.schema["chunk_id"].dataType.simpleString()))
 
 
 def totals(rows: DataFrame, terms: int) -> tuple[int, float, np.ndarray]:
@@ -102,6 +104,8 @@ def best(rows: DataFrame, lookup: Lookup, weights: np.ndarray, k: int, mean_leng
     `weights` is the weight of each term. With a mean length the counts are
     damped as in BM25, without one they are used as they are.
     """
+    schema = f"query_id {lookup.query_type}, chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, score double"
+    kinds = id_types(schema)
     value = lookup.usage * weights[lookup.terms]
     starts = np.searchsorted(lookup.questions, np.arange(0, len(lookup.query_ids) + QUERY_COLUMNS, QUERY_COLUMNS))
     shared = rows.sparkSession.sparkContext.broadcast(
@@ -110,13 +114,13 @@ def best(rows: DataFrame, lookup: Lookup, weights: np.ndarray, k: int, mean_leng
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, term, question, weight, start, width = shared.value
-        kept = Best(asked, k)
+        kept = Best(asked, k).of_types(kinds)
         height = int(np.clip(BLOCK_CELLS // max(1, width), 64, BLOCK_ROWS))
         for whole in batches:
             for first in range(0, whole.num_rows, height):
                 batch = whole.slice(first, height)
                 block = _damped(batch, width, mean_length)
-                ids = batch.column("chunk_id").to_numpy()
+                ids = id_array(batch.column("chunk_id"))
                 for part in range(len(start) - 1):
                     low, high = start[part], start[part + 1]
                     at = slice(part * QUERY_COLUMNS, min((part + 1) * QUERY_COLUMNS, len(asked)))
@@ -126,7 +130,7 @@ def best(rows: DataFrame, lookup: Lookup, weights: np.ndarray, k: int, mean_leng
                     kept.add(_round(matrix @ block[:, used].T), ids, at)
         yield kept.rows()
 
-    return rows.mapInArrow(score, RESULT)
+    return rows.mapInArrow(score, schema)
 
 
 def _damped(batch: pa.RecordBatch, width: int, mean_length: float | None) -> np.ndarray:

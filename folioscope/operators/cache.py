@@ -51,15 +51,19 @@ def nearest(questions: DataFrame, entries: DataFrame) -> DataFrame:
                 at = similarity.argmax(axis=1) if batch.num_rows else np.zeros(0, dtype=int)
                 best, score = pa.array(order[at]), similarity[np.arange(batch.num_rows), at] if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("query_id").cast(pa.int64()), best, pa.array(score)], names=["query_id", "seq", "similarity"]
+                [batch.column("query_id"), best, pa.array(score)], names=["query_id", "seq", "similarity"]
             )
 
-    return questions.select("query_id", "embedding").mapInArrow(closest, "query_id long, seq long, similarity double")
+    kind = questions.schema["query_id"].dataType.simpleString()
+    asked = questions.select("query_id", "embedding")
+    return asked.mapInArrow(closest, f"query_id {kind}, seq long, similarity double")
 
 
-def lookup(questions: DataFrame, entries: DataFrame, threshold: float = CACHE_SIMILARITY) -> DataFrame:
-    """`query_id, seq, similarity, hit` against a fixed set of entries."""
-    found = nearest(questions, entries)
+def lookup(
+    questions: DataFrame, entries: DataFrame, threshold: float = CACHE_SIMILARITY, capacity: int = CACHE_CAPACITY
+) -> DataFrame:
+    """`query_id, seq, similarity, hit` against the entries a cache of `capacity` still holds."""
+    found = nearest(questions, surviving(entries, capacity))
     hit = F.col("seq").isNotNull() & (F.col("similarity") >= threshold)
     return found.withColumn("hit", hit)
 

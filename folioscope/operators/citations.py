@@ -18,8 +18,12 @@ def is_refusal(answer: Column) -> Column:
 
 def markers(text: Column) -> Column:
     """Cited numbers in order; one too long for an integer is null."""
-    digits = F.regexp_extract_all(text, F.lit(MARKER_PATTERN), 1)
-    return F.transform(digits, lambda d: d.try_cast("long"))
+    return F.transform(marker_texts(text), lambda d: d.try_cast("long"))
+
+
+def marker_texts(text: Column) -> Column:
+    """The digits of all markers, in order."""
+    return F.regexp_extract_all(text, F.lit(MARKER_PATTERN), 1)
 
 
 def check(answers: DataFrame) -> DataFrame:
@@ -27,22 +31,24 @@ def check(answers: DataFrame) -> DataFrame:
 
     Columns: `refused`, `sentences`, `uncited`, `citations` (one entry per
     distinct valid number, ascending, with the passage's provenance), `invalid`
-    (numbers naming no passage, in order, repeats kept), `grounded`.
+    (numbers naming no passage as text without leading zeros, in order, repeats
+    kept, however many digits they have), `grounded`.
     A refusal has no sentences and its citations are not looked at.
     """
     none = F.expr("cast(array() as array<string>)")
     read = answers.withColumn("refused", is_refusal(F.col("answer"))).withColumn(
         "_sentences", F.when(F.col("refused"), none).otherwise(answer_sentences(F.col("answer")))
     )
-    cited = read.withColumn("_numbers", F.transform("_sentences", markers))
+    cited = read.withColumn("_numbers", F.transform("_sentences", marker_texts))
     names = F.coalesce(F.size("passages"), F.lit(0))
 
-    def valid(number: Column) -> Column:
+    def valid(digits: Column) -> Column:
+        number = digits.try_cast("long")
         return F.coalesce((number >= 1) & (number <= names), F.lit(False))
 
     flat = cited.withColumn("_flat", F.flatten("_numbers"))
     resolved = F.transform(
-        F.array_sort(F.array_distinct(F.filter("_flat", valid))),
+        F.array_sort(F.array_distinct(F.transform(F.filter("_flat", valid), lambda d: d.cast("long")))),
         lambda n: F.struct(
             n.alias("number"),
             F.element_at("passages", n.cast("int"))["paper_id"].alias("paper_id"),
@@ -56,7 +62,7 @@ def check(answers: DataFrame) -> DataFrame:
         F.size("_sentences").cast("long").alias("sentences"),
         F.size(F.filter("_numbers", lambda n: F.size(n) == 0)).cast("long").alias("uncited"),
         resolved.alias("citations"),
-        F.filter("_flat", lambda n: ~valid(n)).alias("invalid"),
+        F.transform(F.filter("_flat", lambda d: ~valid(d)), lambda d: F.regexp_replace(d, r"^0+(?=\d)", "")).alias("invalid"),
     )
     return counted.withColumn("grounded", grounded(F.col("refused"), F.col("sentences"), F.col("uncited")))
 
@@ -67,26 +73,24 @@ def grounded(refused: Column, sentences: Column, uncited: Column) -> Column:
 
 
 def spans(text: Column, valid_numbers: Column) -> Column:
-    """The answer cut into text, valid and invalid citation spans, in order."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(\[\d+\]|(?s:(?:(?!\[\d+\]).)+))"), 1)
-    return F.transform(
-        pieces,
-        lambda piece: F.when(
-            piece.rlike(r"^\[\d+\]$"),
-            F.struct(
-                F.when(
-                    F.coalesce(
-                        F.array_contains(valid_numbers, F.regexp_extract(piece, r"\d+", 0).try_cast("long")),
-                        F.lit(False),
-                    ),
-                    F.lit("valid"),
-                )
-                .otherwise(F.lit("invalid"))
-                .alias("kind"),
-                F.regexp_extract(piece, r"\d+", 0).alias("content"),
-            ),
-        ).otherwise(F.struct(F.lit("text").alias("kind"), piece.alias("content"))),
-    )
+    """The answer cut into text, valid and invalid citation spans, in order.
+
+    What stands between markers and the markers themselves are two arrays that
+    take turns; the pattern has no repeated group, so no answer is too long.
+    """
+    between = F.split(text, r"\[\d+\]", -1)
+    digits = F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), 1)
+
+    def kind(number: Column) -> Column:
+        known = F.array_contains(valid_numbers, number.try_cast("long"))
+        return F.when(F.coalesce(known, F.lit(False)), F.lit("valid")).otherwise(F.lit("invalid"))
+
+    def pair(piece: Column, number: Column) -> Column:
+        words = F.struct(F.lit("text").alias("kind"), F.coalesce(piece, F.lit("")).alias("content"))
+        mark = F.struct(kind(number).alias("kind"), F.coalesce(number, F.lit("")).alias("content"))
+        return F.when(number.isNull(), F.array(words)).otherwise(F.array(words, mark))
+
+    return F.filter(F.flatten(F.zip_with(between, digits, pair)), lambda s: s["content"] != "")
 
 
 def without_version(paper_id: Column) -> Column:

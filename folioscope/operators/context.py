@@ -7,15 +7,10 @@ from pyspark.sql import functions as F
 
 from folioscope.constants import REFUSAL
 
+#: The three things an answer must keep to for the checks that follow: source, citation format, refusal sentence.
 INSTRUCTIONS = f"""\
-Answer the question from the numbered passages below and from nothing else.
-
-- Support each claim with the number of its passage in square brackets, such as [2]; \
-a sentence may name several, such as [1][4].
-- Use only numbers that appear below.
-- Should the passages hold no answer, write exactly: {REFUSAL}. Write nothing after it.
-- Leave out background knowledge, even if it is certain.
-- Write continuous prose of fewer than 200 words.
+Source of the answer: the passages printed here. Citation format: [n], n being a passage's number, at the end of \
+each sentence. If the passages do not answer the question, reply with this sentence only: {REFUSAL}.
 """
 
 

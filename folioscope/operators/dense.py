@@ -14,12 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscope.constants import CANDIDATES
 from folioscope.functions.sizing import Extent, measure, top_ranked
 
 SCORE_DIGITS = 6
-RESULT = "query_id long, chunk_id long, score double"
 QUERY_BLOCK = 4096
 CORPUS_BLOCK = 65536
 # Similarities held at once by a task: 32 MB.
@@ -34,6 +35,27 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def result(corpus: DataFrame, queries: DataFrame) -> str:
+    """Columns of a ranking; identifiers keep the types they came with."""
+    query, chunk = (df.schema[name].dataType.simpleString() for df, name in ((queries, "query_id"), (corpus, "chunk_id")))
+    return f"query_id {query}, chunk_id {chunk}, score double"
+
+
+def id_types(schema: str) -> tuple[pa.DataType, pa.DataType]:
+    """Types of a ranking's identifiers; asked for on the driver."""
+    fields = T.StructType.fromDDL(schema).fields
+    return to_arrow_type(fields[0].dataType), to_arrow_type(fields[1].dataType)
+
+
+def id_array(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Identifiers that compare as the engine compares them: integers as such, anything else as objects."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy().astype(np.int64) if isinstance(column, pa.ChunkedArray) else column.to_numpy(False).astype(np.int64)
+    values = np.empty(len(column), dtype=object)
+    values[:] = column.to_pylist()
+    return values
+
+
 class Best:
     """The best `k` chunks of every query of a block, updated block by block.
 
@@ -44,10 +66,18 @@ class Best:
     def __init__(self, query_ids: np.ndarray, k: int):
         self.query_ids, self.k = query_ids, k
         self.scores = np.full((len(query_ids), 0), -np.inf)
-        self.ids = np.zeros((len(query_ids), 0), dtype=np.int64)
+        self.ids: np.ndarray | None = None
+        self.kinds: tuple[pa.DataType, pa.DataType] = (pa.int64(), pa.int64())
+
+    def of_types(self, kinds: tuple[pa.DataType, pa.DataType]) -> Best:
+        """Fixes the types of the result's identifiers."""
+        self.kinds = kinds
+        return self
 
     def add(self, similarity: np.ndarray, ids: np.ndarray, at: slice) -> None:
         """Takes in similarities (queries x chunks) of the queries at `at`."""
+        if self.ids is None:
+            self.ids = np.empty((len(self.query_ids), 0), dtype=ids.dtype)
         by_id = np.argsort(ids, kind="stable")
         ids, similarity = ids[by_id], similarity[:, by_id]
         n = len(ids)
@@ -59,24 +89,31 @@ class Best:
             new = np.broadcast_to(ids, similarity.shape)
         scores = np.concatenate([self.scores[at], similarity], axis=1)
         candidates = np.concatenate([self.ids[at], new], axis=1)
-        order = np.lexsort((candidates, -scores), axis=1)[:, : self.k]
+        order = np.lexsort((_places(candidates), -scores), axis=1)[:, : self.k]
         scores, candidates = np.take_along_axis(scores, order, 1), np.take_along_axis(candidates, order, 1)
         missing = scores.shape[1] - self.scores.shape[1]
         if missing > 0:
             rows = len(self.query_ids)
             self.scores = np.concatenate([self.scores, np.full((rows, missing), -np.inf)], axis=1)
-            self.ids = np.concatenate([self.ids, np.zeros((rows, missing), dtype=np.int64)], axis=1)
+            self.ids = np.concatenate([self.ids, np.full((rows, missing), ids[0], dtype=ids.dtype)], axis=1)
         self.scores[at], self.ids[at] = scores, candidates
 
     def rows(self) -> pa.RecordBatch:
         real = np.isfinite(self.scores)
-        owners = np.broadcast_to(self.query_ids[:, None], self.scores.shape)
+        owners = np.broadcast_to(self.query_ids[:, None], self.scores.shape)[real]
+        chunks = [] if self.ids is None else self.ids[real]
+        query, chunk = self.kinds
         return pa.RecordBatch.from_arrays(
-            [pa.array(owners[real]), pa.array(self.ids[real]), pa.array(self.scores[real])],
+            [pa.array(owners, query), pa.array(chunks, chunk), pa.array(self.scores[real], pa.float64())],
             names=["query_id", "chunk_id", "score"],
         )
 
 
+def _places(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of identifiers of any type."""
+    return ids if ids.dtype != object else np.unique(ids.ravel(), return_inverse=True)[1].reshape(ids.shape)
+
+
 def _round(similarity: np.ndarray) -> np.ndarray:
     # The zero is added so that a rounded -0.0 equals 0.0 everywhere.
     return np.round(similarity, SCORE_DIGITS) + 0.0
@@ -93,18 +130,20 @@ def _add(best: Best, queries: np.ndarray, chunks: np.ndarray, ids: np.ndarray) -
 
 def _by_broadcast(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     block = queries.toArrow()
-    query_ids = block["query_id"].to_numpy().astype(np.int64)
+    query_ids = id_array(block["query_id"])
+    schema = result(corpus, queries)
+    kinds = id_types(schema)
     shared = corpus.sparkSession.sparkContext.broadcast((query_ids, _matrix(block["embedding"])))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, vectors = shared.value
-        best = Best(wanted, k)
+        best = Best(wanted, k).of_types(kinds)
         for batch in batches:
             if batch.num_rows and len(wanted):
-                _add(best, vectors, _matrix(batch.column("embedding")), batch.column("chunk_id").to_numpy())
+                _add(best, vectors, _matrix(batch.column("embedding")), id_array(batch.column("chunk_id")))
         yield best.rows()
 
-    return corpus.mapInArrow(nearest, RESULT)
+    return corpus.mapInArrow(nearest, schema)
 
 
 def _numbers(count: int) -> Column:
@@ -123,13 +162,16 @@ def _by_blocks(corpus: DataFrame, queries: DataFrame, k: int, extent: Extent, ch
         "cb", F.explode(_numbers(corpus_blocks))
     )
 
+    schema = result(corpus, queries)
+    kinds = id_types(schema)
+
     def nearest(some: pa.Table, asked: pa.Table) -> pa.Table:
-        best = Best(asked["query_id"].to_numpy(), k)
+        best = Best(id_array(asked["query_id"]), k).of_types(kinds)
         if some.num_rows and asked.num_rows:
-            _add(best, _matrix(asked["embedding"]), _matrix(some["embedding"]), some["chunk_id"].to_numpy())
+            _add(best, _matrix(asked["embedding"]), _matrix(some["embedding"]), id_array(some["chunk_id"]))
         return pa.Table.from_batches([best.rows()])
 
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(nearest, RESULT)
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(nearest, schema)
 
 
 def search(
@@ -142,16 +184,17 @@ def search(
     """Nearest chunks of each query vector with `1 - cosine distance` as score.
 
     `corpus` has `chunk_id, embedding`, `queries` has `query_id, embedding`; all
-    vectors are of unit length. The query matrix is broadcast only when its
+    vectors are of unit length and identifiers of any type with an order. The query matrix is broadcast only when its
     measured size is small; otherwise both sides are cut into blocks.
     """
-    corpus = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
-    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    corpus = corpus.select("chunk_id", "embedding")
+    # Under names of their own: both sides may stem from one table.
+    queries = queries.select(F.col("query_id").alias("query_id"), F.concat("embedding").alias("embedding"))
     extent = extent or measure(queries)
     by_blocks = not extent.fits(copies=2) if by_blocks is None else by_blocks
     if by_blocks:
         near = _by_blocks(corpus, queries, limit, extent, corpus.count())
     else:
         near = _by_broadcast(corpus, queries, limit)
-    best = top_ranked(near, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], limit)
+    best = top_ranked(near, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], limit, spread="chunk_id")
     return best.select("query_id", "rank", "chunk_id", "score")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import strip_space
+
 WIRE_DATA = "array<string>"
 
 
@@ -19,12 +21,15 @@ def event_rows(checked: DataFrame) -> DataFrame:
     A cached answer is one token. Expects the columns of `citations.check` and
     `cached`.
     """
-    report = F.struct("citations", "invalid", "grounded", "refused", "cached")
+    # Invalid numbers are kept as digits, of which there may be too many for any number type.
+    start, rest = F.to_json(F.struct("citations")), F.to_json(F.struct("grounded", "refused", "cached"))
+    invalid = F.concat(F.lit(',"invalid":['), F.array_join("invalid", ","), F.lit("],"))
+    report = F.concat(F.substring(start, F.lit(1), F.length(start) - 1), invalid, F.substring(rest, F.lit(2), F.length(rest)))
     tokens = F.when(F.col("cached"), F.array("answer")).otherwise(fragments(F.col("answer")))
     listed = F.concat(
         F.array(F.struct(F.lit("passages").alias("event"), F.to_json("passages").alias("data"))),
         F.transform(tokens, lambda t: F.struct(F.lit("token").alias("event"), _json_string(t).alias("data"))),
-        F.array(F.struct(F.lit("citations").alias("event"), F.to_json(report).alias("data"))),
+        F.array(F.struct(F.lit("citations").alias("event"), report.alias("data"))),
     )
     return (
         checked.select("query_id", F.posexplode(listed).alias("seq", "_e"))
@@ -57,7 +62,7 @@ def split_events(buffer: Column) -> Column:
     def field(lines: Column, name: str) -> Column:
         return F.transform(
             F.filter(lines, lambda line: line.startswith(name + ":")),
-            lambda line: F.trim(F.substring(line, F.lit(len(name) + 2), F.length(line))),
+            lambda line: strip_space(F.substring(line, F.lit(len(name) + 2), F.length(line))),
         )
 
     def parse(block: Column) -> Column:

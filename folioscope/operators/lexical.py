@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.constants import BM25_B, BM25_K1, CANDIDATES, LIBRARY_IDF_FLOOR
-from folioscope.functions.sizing import Extent, measure, spread_join, top_ranked
+from folioscope.functions.sizing import Extent, measure, rounded, spread_join, top_ranked
 from folioscope.functions.text import bags, question_terms, tokens
 from folioscope.operators import blocks
 from folioscope.operators.blocks import Lookup
@@ -172,13 +172,17 @@ def score(
     postings = index.postings.repartition("chunk_id") if small else index.postings
     hits = spread_join(postings, weights, ["term"], fits=small, spread=["chunk_id"])
     part = F.col("weight") * saturation(F.col("tf"), F.col("length"), mean_length)
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    return hits.groupBy("query_id", "chunk_id").agg(rounded(F.sum(part), SCORE_DIGITS).alias("score"))
 
 
 def top_chunks(scores: DataFrame, limit: int) -> DataFrame:
     """Best chunks per question; ties go to the lower id; zero scores are dropped."""
     best = top_ranked(
-        scores.where("score > 0"), ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], limit
+        scores.where("score > 0"),
+        ["query_id"],
+        [F.col("score").desc(), F.col("chunk_id").asc()],
+        limit,
+        spread="chunk_id",
     )
     return best.select("query_id", "rank", "chunk_id", "score")
 

@@ -50,30 +50,30 @@ def plan(questions: DataFrame) -> DataFrame:
     )
 
 
-SLOTS = 1 << 16
-
-
 def numbered(plans: DataFrame) -> DataFrame:
-    """Planned queries under identifiers of their own, repeats left out.
+    """`query_id, text, question_id, query_no`: planned queries under identifiers
+    of their own, repeats left out.
 
-    A repeated query would only return passages that are already there.
+    A repeated query would only return passages that are already there. The
+    identifier is the question's with the query's number behind it, as text, so
+    questions may have identifiers of any type and size.
     """
     first = plans.groupBy("query_id", "text").agg(F.min("query_no").alias("query_no"))
-    return first.select((F.col("query_id") * SLOTS + F.col("query_no")).alias("query_id"), "text")
+    own = F.concat(F.col("query_id").cast("string"), F.lit("#"), F.col("query_no").cast("string"))
+    return first.select(own.alias("query_id"), "text", F.col("query_id").alias("question_id"), "query_no")
 
 
-def merge(rankings: DataFrame, cap: int = CONTEXT_PASSAGES, interleave: bool = False) -> DataFrame:
+def merge(rankings: DataFrame, queries: DataFrame, cap: int = CONTEXT_PASSAGES, interleave: bool = False) -> DataFrame:
     """Passages of all queries of a question, each once, at most `cap`.
 
+    `rankings` of the `queries` that `numbered` made.
+
     Earlier queries fill the slots first. With `interleave` the queries take
     turns instead, which gives every side of a comparison a place.
     """
-    single = rankings.select(
-        F.floor(F.col("query_id") / SLOTS).cast("long").alias("query_id"),
-        F.pmod("query_id", F.lit(SLOTS)).alias("query_no"),
-        "rank",
-        "chunk_id",
-        "score",
+    owners = queries.select("query_id", "question_id", "query_no")
+    single = rankings.join(owners, "query_id").select(
+        F.col("question_id").alias("query_id"), "query_no", "rank", "chunk_id", "score"
     )
     place = F.struct("rank", "query_no", "score") if interleave else F.struct("query_no", "rank", "score")
     unique = single.groupBy("query_id", "chunk_id").agg(F.min(place).alias("place"))

@@ -28,7 +28,8 @@ def gather(
     """`query_id, number, chunk_id, score`: the context of every question."""
     validate(top_k)
     sub_queries = planning.numbered(planning.plan(acceptable(questions)))
-    return planning.merge(search(corpus, sub_queries, top_k, reranked=reranked), cap, interleave)
+    ranking = search(corpus, sub_queries.select("query_id", "text"), top_k, reranked=reranked)
+    return planning.merge(ranking, sub_queries, cap, interleave)
 
 
 def with_prompts(corpus: Corpus, questions: DataFrame, found: DataFrame) -> DataFrame:
@@ -53,24 +54,29 @@ def answer(
     top_k: int = TOP_K,
     reranked: bool = RERANK_BY_DEFAULT,
     entries: DataFrame | None = None,
+    capacity: int = answer_cache.CACHE_CAPACITY,
 ) -> DataFrame:
-    """Checked answers, one row per question.
+    """Checked answers, one row per question; the model is asked once for each.
+
+    Answers are written down as they come, so that whatever reads them later,
+    checks, storage or event streams, sees the same ones.
 
     With cache `entries` (`seq, question, answer, embedding`) every question is
-    looked up in that fixed set first. A hit takes the stored answer and reaches
+    looked up first in those that a cache of `capacity` still holds. A hit takes the stored answer and reaches
     no model; its citations are checked against the new question's passages.
     """
     provider = provider or ExtractiveProvider()
     prompts = with_prompts(corpus, questions, gather(corpus, questions, top_k, reranked))
     if entries is None:
-        answered = provider.complete(prompts).withColumn("cached", F.lit(False))
+        answered = materialise(provider.complete(prompts).withColumn("cached", F.lit(False)))
     else:
+        entries = materialise(answer_cache.surviving(entries, capacity))
         vectors = corpus.encoder.questions(questions.select("query_id", "text"))
         hits = answer_cache.lookup(vectors, entries).where("hit").select("query_id", "seq")
         stored = spread_join(hits, entries.select("seq", "answer"), ["seq"], fits=True, spread=["query_id"])
         looked_up = materialise(prompts.join(stored.select("query_id", "answer"), "query_id", "left"))
         replayed = looked_up.where("answer is not null").withColumn("cached", F.lit(True))
-        fresh = provider.complete(looked_up.where("answer is null").drop("answer"))
+        fresh = materialise(provider.complete(looked_up.where("answer is null").drop("answer")))
         answered = replayed.unionByName(fresh.withColumn("cached", F.lit(False)))
     return citations.check(answered.select("query_id", "question", "passages", "answer", "cached"))
 

@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from folioscope.constants import DOWNLOAD_ATTEMPTS, REQUEST_DELAY_SECONDS
+from folioscope.session import materialise
 
 MEMBERS = "array<struct<name:string,text:string>>"
 
@@ -48,7 +50,10 @@ def download(
 
     `fetch` raises on any failure; it is retried with growing pauses and a paper
     that never arrives is left out. The host allows one request per `delay`
-    seconds, which is why the requests share a single task.
+    seconds, which is why the requests share a single task: only the list of
+    requests is brought together for it, and contents are written down as they
+    come, so what follows runs in parallel and a lost task later on asks for
+    nothing twice.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,7 +70,30 @@ def download(
                     sleep(delay)
                     break
 
-    return papers.select("paper_id").coalesce(1).mapInPandas(run, "paper_id string, content binary")
+    wanted = papers.select("paper_id").distinct().repartition(1).sortWithinPartitions("paper_id")
+    return materialise(wanted.mapInPandas(run, "paper_id string, content binary"))
+
+
+def keep(archives: DataFrame, folder: str) -> None:
+    """Adds downloaded archives to the cache that `cached` reads."""
+    archives.select("paper_id", "content").write.mode("append").parquet(folder)
+
+
+def cached(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives kept so far as `paper_id, content`; none when nothing was."""
+    try:
+        return spark.read.schema("paper_id string, content binary").parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "paper_id string, content binary")
+
+
+def fetched(papers: DataFrame, folder: str, fetch: Callable[[str], bytes], **options) -> DataFrame:
+    """Archives of the papers: kept ones from the cache, missing ones downloaded and then kept."""
+    have = cached(papers.sparkSession, folder)
+    keep(download(missing(papers, have), fetch, **options), folder)
+    return cached(papers.sparkSession, folder).join(papers.select("paper_id").distinct(), "paper_id", "left_semi")
 
 
 def _members(archive: bytes) -> list[dict]:

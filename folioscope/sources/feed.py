@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
+from urllib.parse import quote_plus, urlencode
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 
 from folioscope.constants import FEED_LIMIT, FEED_PAGE_SIZE, REQUEST_DELAY_SECONDS
 from folioscope.functions.text import collapse
+from folioscope.session import materialise
+
+ENTRY_START = re.compile(r"<entry[\s>]")
 
 # --- fixed values: the parts of an Atom entry that are read ----------------
 ENTRY_FIELDS = {
@@ -26,52 +31,44 @@ ENTRY_FIELDS = {
 # ---------------------------------------------------------------------------
 
 
-def page_requests(spark: SparkSession, url: str, query: str, limit: int = FEED_LIMIT, size: int = FEED_PAGE_SIZE) -> DataFrame:
-    """`page, start, size, url`: the requests that cover `limit` entries, newest first."""
-    pages = spark.range(0, max(0, -(-limit // size))).select(
-        F.col("id").alias("page"),
-        (F.col("id") * size).alias("start"),
-        F.least(F.lit(size), F.lit(limit) - F.col("id") * size).cast("long").alias("size"),
-    )
-    return pages.withColumn(
-        "url",
-        F.concat(
-            F.lit(url + "?search_query="),
-            F.url_encode(F.lit(query)),
-            F.lit("&sortBy=submittedDate&sortOrder=descending&start="),
-            F.col("start").cast("string"),
-            F.lit("&max_results="),
-            F.col("size").cast("string"),
-        ),
-    )
+def page_url(url: str, query: str, start: int, size: int) -> str:
+    asked = {"search_query": query, "sortBy": "submittedDate", "sortOrder": "descending", "start": start, "max_results": size}
+    return f"{url}?{urlencode(asked, quote_via=quote_plus)}"
 
 
 def download(
-    requests: DataFrame,
+    spark: SparkSession,
+    url: str,
+    query: str,
     fetch: Callable[[str], str],
+    limit: int = FEED_LIMIT,
+    size: int = FEED_PAGE_SIZE,
     delay: float = REQUEST_DELAY_SECONDS,
     sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
-    """`page, body` of every page up to the first empty one.
+    """`start, body` of as many pages as hold the newest `limit` entries.
 
+    Each request goes on from the number of entries received so far, so a page
+    that comes back shorter than asked loses nothing; an empty one is the end.
     `fetch` raises on an error status, which fails the job. The host asks for one
-    request at a time with a pause between, so the pages share one task.
+    request at a time with a pause between: one task makes the requests, and the
+    bodies are written down as they come, to be read by as many tasks as need be.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
-        for batch in batches:
-            for page, url in zip(batch["page"], batch["url"], strict=True):
-                if not first:
+        for _ in batches:
+            received = 0
+            while received < limit:
+                if received:
                     sleep(delay)
-                first = False
-                body = fetch(url)
-                if "<entry" not in body:
-                    return
-                yield pd.DataFrame({"page": [page], "body": [body]})
-
-    ordered = requests.select("page", "url").coalesce(1).sortWithinPartitions("page")
-    return ordered.mapInPandas(run, "page long, body string")
+                body = fetch(page_url(url, query, received, min(size, limit - received)))
+                found = len(ENTRY_START.findall(body))
+                if not found:
+                    break
+                yield pd.DataFrame({"start": [received], "body": [body]})
+                received += found
+
+    return materialise(spark.range(0, 1, 1, 1).mapInPandas(run, "start long, body string"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

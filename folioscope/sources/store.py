@@ -1,14 +1,16 @@
-"""The papers and chunks tables as folders of parquet, one partition per batch.
-
-Chunks are written before papers, and the chunks of a batch are only visible once
-its papers are there. A batch therefore appears as a whole, and writing it again
-after a failure replaces its partition instead of doubling it. Visibility is
-decided per batch, so reading the chunks compares batch numbers and never joins
-chunks with papers.
+"""The papers and chunks tables as folders of parquet, one partition per batch and attempt.
+
+A batch is written into a new attempt folder, chunks first, and becomes visible as
+a whole when a commit row names the attempt. Nothing that was committed is ever
+overwritten: writing a batch again adds an attempt, and the latest commit of a
+batch counts. So a batch can be repeated, finished or not, while others read, and
+a plan never reads what it writes. Visibility is decided per batch and attempt,
+so reading never joins chunks with papers.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,10 @@ from pyspark.sql.utils import AnalysisException
 
 from folioscope.plugins import Encoder
 from folioscope.schemas import CHUNKS, PAPERS
+from folioscope.session import materialise
+
+PLACE = "batch long, attempt string"
+COMMITS = f"{PLACE}, committed_at timestamp"
 
 
 @dataclass(frozen=True)
@@ -26,54 +32,85 @@ class Store:
     folder: str
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType(), False)])
         try:
-            return self.spark.read.schema(with_batch).parquet(f"{self.folder}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], with_batch)
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def committed(self) -> DataFrame:
+        """`batch, attempt`: the latest commit of every batch."""
+        commits = self._read("commits", T.StructType.fromDDL(COMMITS))
+        latest = F.max(F.struct("committed_at", "attempt")).alias("_last")
+        return commits.groupBy("batch").agg(latest).select("batch", F.col("_last.attempt").alias("attempt"))
+
+    def _table(self, name: str, schema: T.StructType) -> DataFrame:
+        placed = T.StructType([*schema.fields, *T.StructType.fromDDL(PLACE).fields])
+        return self._read(name, placed).join(self.committed(), ["batch", "attempt"], "left_semi").drop("attempt")
 
     def papers(self) -> DataFrame:
-        return self._read("papers", PAPERS)
+        return self._table("papers", PAPERS)
 
     def chunks(self) -> DataFrame:
-        """Chunks of finished batches."""
-        committed = self.papers().select("batch").distinct()
-        return self._read("chunks", CHUNKS).join(committed, "batch", "left_semi")
+        return self._table("chunks", CHUNKS)
 
-    def stored_ids(self) -> DataFrame:
-        return self.papers().select("paper_id").distinct()
+    def stored_ids(self, but: int | None = None) -> DataFrame:
+        """Identifiers of stored papers; of all batches, or of all `but` one."""
+        papers = self.papers()
+        return (papers if but is None else papers.where(F.col("batch") != but)).select("paper_id").distinct()
 
     def write(self, papers: DataFrame, chunks: DataFrame, batch: int) -> None:
         """Stores papers that have chunks, with their chunks, as one batch."""
-        used = [f.name for f in CHUNKS.fields]
-        chunks.select(*used).write.mode("overwrite").parquet(f"{self.folder}/chunks/batch={batch}")
-        written = self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/chunks/batch={batch}")
+        attempt = _new_attempt()
+        place = f"batch={batch}/attempt={attempt}"
+        chunks.select(*[f.name for f in CHUNKS.fields]).write.parquet(f"{self.folder}/chunks/{place}")
+        written = self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/chunks/{place}")
         kept = papers.join(written.select("paper_id").distinct(), "paper_id", "left_semi")
-        kept.withColumn("ingested_at", F.current_timestamp()).select(
-            *[f.name for f in PAPERS.fields]
-        ).write.mode("overwrite").parquet(f"{self.folder}/papers/batch={batch}")
+        kept = kept.withColumn("ingested_at", F.current_timestamp()).select(*[f.name for f in PAPERS.fields])
+        kept.write.parquet(f"{self.folder}/papers/{place}")
+        self._commit(self.spark.range(1).select(F.lit(batch).cast("long").alias("batch")), attempt)
+
+    def _commit(self, batches: DataFrame, attempt: str) -> None:
+        rows = batches.select("batch", F.lit(attempt).alias("attempt"), F.current_timestamp().alias("committed_at"))
+        rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+
+    def _write_all(self, papers: DataFrame, chunks: DataFrame, batches: DataFrame, folder: str) -> Store:
+        """Rows with their batch numbers as one attempt at all of `batches`."""
+        attempt = _new_attempt()
+        for name, rows in (("chunks", chunks), ("papers", papers)):
+            placed = rows.withColumn("attempt", F.lit(attempt))
+            placed.write.mode("append").partitionBy("batch", "attempt").parquet(f"{folder}/{name}")
+        written = Store(self.spark, folder)
+        written._commit(batches, attempt)
+        return written
 
     def copy_to(self, folder: str) -> Store:
         """Both tables exported to another folder, from which a store can be opened."""
-        self.papers().write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/papers")
-        self.chunks().write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/chunks")
-        return Store(self.spark, folder)
+        return self._write_all(self.papers(), self.chunks(), self.committed(), folder)
 
     def reembedded(self, encoder: Encoder, folder: str) -> Store:
         """A copy in which every vector comes from `encoder`, so that passages and
         questions live in one space."""
-        self.papers().write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/papers")
         chunks = encoder.passages(self.chunks().drop("embedding"))
-        chunks.write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/chunks")
-        return Store(self.spark, folder)
-
-    def without(self, removed: DataFrame, folder: str) -> Store:
-        """A copy without the given papers and, with them, their chunks."""
-        papers = self.papers().join(removed.select("paper_id"), "paper_id", "left_anti")
-        papers.write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/papers")
-        chunks = self.chunks().join(removed.select("paper_id"), "paper_id", "left_anti")
-        chunks.write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/chunks")
-        return Store(self.spark, folder)
+        return self._write_all(self.papers(), chunks, self.committed(), folder)
+
+    def remove(self, removed: DataFrame) -> None:
+        """Removes papers and, with them, their chunks.
+
+        Only batches that hold one of them are written again, as a new attempt.
+        """
+        gone = removed.select("paper_id").distinct()
+        batches = materialise(self.papers().join(gone, "paper_id", "left_semi").select("batch").distinct())
+        papers, chunks = (
+            rows.join(batches, "batch", "left_semi").join(gone, "paper_id", "left_anti")
+            for rows in (self.papers(), self.chunks())
+        )
+        self._write_all(papers, chunks, batches, self.folder)
+
+
+def _new_attempt() -> str:
+    return f"a{uuid.uuid4().hex}"
 
 
 def unseen(papers: DataFrame, stored: DataFrame) -> DataFrame:

@@ -17,25 +17,12 @@ def start(stream: DataFrame, store: Store, checkpoint: str, encoder: Encoder | N
     """Ingests a stream of papers with their archives (`content`).
 
     The micro-batch number is the store's batch, so a batch that is replayed
-    after a failure replaces its own partition. Its own papers must not count as
-    already stored then, which is why the ids are read from earlier batches only.
+    after a failure takes the place of its own first attempt.
     """
 
     def write(rows: DataFrame, batch: int) -> None:
         arrived = materialise(rows)
-        earlier = _Earlier(store.spark, store.folder, batch)
-        ingest(earlier, arrived.select(*PAPER_FIELDS), arrived.select("paper_id", "content"), batch, encoder).collect()
+        ingest(store, arrived.select(*PAPER_FIELDS), arrived.select("paper_id", "content"), batch, encoder).collect()
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return query.trigger(**(trigger or {"availableNow": True})).start()
-
-
-class _Earlier(Store):
-    """A store that has forgotten batches from `before` on when asked what it holds."""
-
-    def __init__(self, spark, folder: str, before: int):
-        super().__init__(spark, folder)
-        object.__setattr__(self, "before", before)
-
-    def stored_ids(self) -> DataFrame:
-        return self.papers().where(f"batch < {self.before}").select("paper_id").distinct()

@@ -8,7 +8,7 @@ from folioscope.constants import REFUSAL
 from folioscope.operators import cache, citations, context, events, planning
 from folioscope.plans import answering
 from folioscope.plans.retrieval import Corpus
-from folioscope.plugins import ModelError, RemoteProvider, forward, pad, provider_named, try_models, worth_retrying, worth_switching
+from folioscope.plugins import ExtractiveProvider, ModelError, RemoteProvider, after, forward, provider_named, try_models
 
 
 def plans(spark, question):
@@ -28,8 +28,9 @@ def test_a_comparison_adds_its_sides(spark):
 
 
 def merged(spark, rows, **options):
-    ranked = spark.createDataFrame([(1 * planning.SLOTS + n, r, c, 0.5) for n, r, c in rows], "query_id long, rank long, chunk_id long, score double")
-    return [r["chunk_id"] for r in planning.merge(ranked, **options).orderBy("number").collect()]
+    ranked = spark.createDataFrame([(f"1#{n}", r, c, 0.5) for n, r, c in rows], "query_id string, rank long, chunk_id long, score double")
+    queries = spark.createDataFrame([(f"1#{n}", 1, n) for n in range(3)], "query_id string, question_id long, query_no long")
+    return [r["chunk_id"] for r in planning.merge(ranked, queries, **options).orderBy("number").collect()]
 
 
 def test_passages_are_kept_once_in_query_order_and_capped(spark):
@@ -55,7 +56,7 @@ def test_citations_resolve_once_in_order(spark):
 
 def test_numbers_outside_the_passages_are_reported_in_order(spark):
     row = checked(spark, "X [0] and [7]. Y [7][2]. Z [99999999999999999999].")
-    assert row["invalid"] == [0, 7, 7, None] and [c["number"] for c in row["citations"]] == [2]
+    assert row["invalid"] == ["0", "7", "7", "99999999999999999999"] and [c["number"] for c in row["citations"]] == [2]
 
 
 def test_uncited_sentences_lower_the_share(spark):
@@ -136,7 +137,7 @@ def test_a_remote_model_is_asked_per_prompt(spark):
     corpus, asked = papers(spark), spark.createDataFrame([(1, "How does the key rate fall?")], "query_id long, text string")
     provider = RemoteProvider(["m"], lambda model, prompt: iter(["It falls ", "", "[1]. Made up [9]."]))
     row = answering.answer(corpus, asked, provider).first()
-    assert row["answer"] == "It falls [1]. Made up [9]." and row["invalid"] == [9]
+    assert row["answer"] == "It falls [1]. Made up [9]." and row["invalid"] == ["9"]
 
 
 def failing(codes):
@@ -164,7 +165,9 @@ def test_models_are_tried_in_order():
     call, calls = failing({"a": 429, "b": 503})
     with pytest.raises(ModelError, match="503"):
         try_models(["a", "b"], call, 2, pauses.append)
-    assert worth_switching(ModelError(429)) and not worth_retrying(ModelError(429)) and worth_retrying(ModelError(503))
+    statuses = (429, 500, 503, 400, 404, None)
+    assert [after(ModelError(code)) for code in statuses] == ["next", "again", "again", "stop", "stop", "stop"]
+    assert after(ValueError("no status")) == "stop"
 
 
 def test_a_model_failing_on_its_first_fragment_is_replaced():
@@ -181,11 +184,6 @@ def test_unknown_providers_are_refused():
         provider_named("other")
 
 
-def test_padding_follows_the_longest_item():
-    assert pad([[1, 2, 3], [4]], 512).tolist() == [[1, 2, 3], [4, 0, 0]]
-    assert pad([[1, 2, 3]], 2).tolist() == [[1, 2]]
-
-
 def test_graphs_run_in_small_batches():
     class Item:
         def __init__(self, text):
@@ -203,8 +201,11 @@ def test_graphs_run_in_small_batches():
             return [feeds["input_ids"][:, :1].astype(float)]
 
     tokenizer = type("Tokenizer", (), {"encode_batch": staticmethod(lambda texts: [Item(t) for t in texts])})
-    assert forward(tokenizer, Graph(), ["a", "bbb", "cc"], 512).ravel().tolist() == [1.0, 3.0, 2.0]
-    assert Graph.sizes == [(2, 3), (1, 2)]
+    assert forward(tokenizer, Graph(), ["a", "bbb", "cc", "d"], 512, cells=4).ravel().tolist() == [1.0, 3.0, 2.0, 1.0]
+    assert Graph.sizes == [(1, 3), (2, 2), (1, 1)]
+    Graph.sizes.clear()
+    assert forward(tokenizer, Graph(), ["a", "bbbbb"], 2).ravel().tolist() == [1.0, 5.0] and Graph.sizes == [(2, 2)]
+    assert forward(tokenizer, Graph(), [], 512).shape == (0, 0)
 
 
 def test_cache_replay_follows_question_order(spark, tmp_path):
@@ -232,3 +233,46 @@ def test_cache_replay_follows_question_order(spark, tmp_path):
             if not hit:
                 held = [*held, (vector, answer)][-5:]
     assert served == wanted
+
+
+def test_long_answers_are_cut_at_markers_alone(spark):
+    text = "a🙂" * 50_000 + "[1]" + "b🙂" * 50_000 + "[007][99999999999999999999]"
+    rows = spark.createDataFrame([(text,), ("",), ("[1]",), ("no marker",)], "t string")
+    cut = [[tuple(s) for s in r[0]] for r in rows.select(citations.spans(F.col("t"), F.expr("array(1L, 7L)"))).collect()]
+    assert cut[0] == [("text", "a🙂" * 50_000), ("valid", "1"), ("text", "b🙂" * 50_000), ("valid", "007"), ("invalid", "99999999999999999999")]
+    assert cut[1:] == [[], [("valid", "1")], [("text", "no marker")]]
+
+
+def test_a_model_is_asked_once_per_question(spark):
+    class Counting(ExtractiveProvider):
+        def complete(self, df):
+            seen = calls
+
+            @F.udf("string")
+            def note(text):
+                seen.add(1)
+                return text
+
+            return super().complete(df).withColumn("answer", note.asNondeterministic()("answer"))
+
+    calls = spark.sparkContext.accumulator(0)
+    chunks = spark.createDataFrame([(1, "Heat moves through metal.", "p1", "s", 0), (2, "Water boils.", "p2", "s", 1)], "chunk_id long, text string, paper_id string, section string, paragraph long")
+    asked = spark.createDataFrame([(1, "how does heat move in metal"), (2, "when does the water boil")], "query_id long, text string")
+    checked_rows = answering.answer(Corpus(chunks), asked, Counting(), reranked=False)
+    for _ in range(3):
+        checked_rows.count()
+    events.event_rows(checked_rows).collect()
+    assert calls.value == 2
+
+
+def test_an_evicted_entry_is_no_hit(spark):
+    entries = spark.createDataFrame([(i, [1.0, 0.0] if i == 0 else [0.0, 1.0]) for i in range(1000)], "seq long, embedding array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    assert not cache.lookup(asked, entries).first()["hit"]
+    assert cache.lookup(asked, entries, capacity=1000).first()["hit"]
+
+
+def test_event_data_loses_all_white_space_round_it(spark):
+    rows = spark.createDataFrame([("event:\ttoken\r\ndata:\t x \r\n\r\nrest",)], "b string")
+    read = rows.select(events.split_events(F.col("b")).alias("r")).first()["r"]
+    assert [(e["event"], e["data"]) for e in read["events"]] == [("token", "x")] and read["rest"] == "rest"

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.functions.sizing import Extent, measure, spread_join
+from folioscope.functions.sizing import Extent, measure, spread_join, top_ranked
 from folioscope.functions.text import question_terms
+from folioscope.functions.vectors import hashed
 from folioscope.operators import dense, fulltext, lexical
 from folioscope.operators.fusion import fuse
 from folioscope.operators.rerank import rerank
@@ -178,3 +179,45 @@ def test_search_is_the_composition(chunks, questions):
 def test_question_terms_count_repeats(questions):
     counted = {(r["query_id"], r["term"]): r["qtf"] for r in question_terms(questions).collect()}
     assert counted[(100, "key")] == 2 and (104, "") not in counted
+
+
+@pytest.mark.parametrize("kind", ["string", "hash"])
+def test_identifiers_of_any_type_rank_alike_on_every_path(spark, tmp_path, kind):
+    name = (lambda i: f"doc-{i:04d}") if kind == "string" else (lambda i: i * 1_152_921_504_606_846 - (1 << 62))
+    texts = ["heat moves through metal", "metal bends when heat is high", "water boils", "heat and water", "metal heat metal", "nothing here"]
+    plain = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    type_of = "string" if kind == "string" else "long"
+    named = spark.createDataFrame([(name(i), t) for i, t in enumerate(texts)], f"chunk_id {type_of}, text string")
+    asked = spark.createDataFrame([(name(k), q) for k, q in enumerate(["heat in metal", "boiling water and heat"])], f"query_id {type_of}, text string")
+    want = [(r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in lexical.search(plain, asked, 4).collect()]
+    want = sorted((q, r, name(c), s) for q, r, c, s in want)
+    lexical.build_index(named).save(str(tmp_path / "index"), buckets=4)
+    stored = lexical.TermIndex.load(spark, str(tmp_path / "index"), buckets=4)
+    huge = Extent(10**9, 10**12)
+    for found in (lexical.search(named, asked, 4), lexical.search(named, asked, 4, extent=huge), lexical.search(named, asked, 4, index=stored)):
+        assert sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in found.collect()) == want
+    vectors = hashed(named, "text").select("chunk_id", "embedding")
+    queries = hashed(asked, "text").select("query_id", "embedding")
+    paths = [dense.search(vectors, queries, 3, by_blocks=way).collect() for way in (False, True)]
+    assert sorted(paths[0]) == sorted(paths[1]) and {r["query_id"] for r in paths[0]} == {name(0), name(1)}
+
+
+def test_planned_queries_keep_questions_apart_whatever_their_identifiers(spark):
+    from folioscope.plans import answering
+    from folioscope.plans.retrieval import Corpus
+
+    texts = ["heat moves through metal slowly", "water boils at high heat", "metal bends when it is hot", "ice melts in water"]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    ids = [(1 << 62) + 5, -(1 << 61)]
+    asked = spark.createDataFrame([(ids[0], "Compare how heat moves in metal and how water boils at heat"), (ids[1], "when does ice melt in water")], "query_id long, text string")
+    got = answering.gather(Corpus(chunks), asked, reranked=False).collect()
+    assert {r["query_id"] for r in got} == set(ids)
+    for i in ids:
+        assert sorted(r["number"] for r in got if r["query_id"] == i) == list(range(1, 1 + sum(r["query_id"] == i for r in got)))
+
+
+def test_what_many_tasks_kept_is_cut_in_two_steps(spark):
+    rows = spark.range(5000).selectExpr("id % 2 AS g", "id AS chunk_id", "pmod(id * 37, 101) * 1.0 AS score").repartition(16)
+    order = [F.col("score").desc(), F.col("chunk_id").asc()]
+    once, twice = (top_ranked(rows, ["g"], order, 7, spread=s) for s in (None, "chunk_id"))
+    assert sorted(once.collect()) == sorted(twice.collect())

@@ -5,6 +5,7 @@ import io
 import json
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators.paragraphs import paragraphs
@@ -81,6 +82,20 @@ def test_only_missing_archives_are_downloaded_and_failures_are_left_out(spark):
     assert [(r["paper_id"], bytes(r["content"])) for r in got] == [("b", b"content of b")]
 
 
+def test_downloaded_archives_are_kept(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def fetch(paper_id):
+        calls.add(1)
+        return paper_id.encode()
+
+    folder = str(tmp_path / "kept")
+    ask = lambda *ids: archives.fetched(spark.createDataFrame([(i,) for i in ids], "paper_id string"), folder, fetch, sleep=lambda s: None)
+    assert archives.cached(spark, folder).count() == 0
+    assert sorted(r["paper_id"] for r in ask("a", "b", "a").collect()) == ["a", "b"] and calls.value == 2
+    assert sorted(r["paper_id"] for r in ask("b", "c").collect()) == ["b", "c"] and calls.value == 3
+
+
 def read(spark, latex):
     rows = spark.createDataFrame([(1, latex)], "id long, latex string")
     found = paragraphs(rows.select("id", latex_text(F.col("latex")).alias("text")), "id").orderBy("paragraph").collect()
@@ -138,22 +153,31 @@ def page(numbers):
     return '<feed xmlns="http://www.w3.org/2005/Atom">' + "".join(ENTRY.format(n=n) for n in numbers) + "</feed>"
 
 
-def test_pages_cover_the_limit(spark):
-    asked = feed.page_requests(spark, "http://host/query", 'cat:x AND "a b"', 250).orderBy("page").collect()
-    assert [(r["start"], r["size"]) for r in asked] == [(0, 100), (100, 100), (200, 50)]
-    assert asked[2]["url"] == (
+def test_a_request_names_its_place():
+    assert feed.page_url("http://host/query", 'cat:x AND "a b"', 200, 50) == (
         "http://host/query?search_query=cat%3Ax+AND+%22a+b%22&sortBy=submittedDate&sortOrder=descending&start=200&max_results=50"
     )
 
 
-def test_download_stops_at_the_first_empty_page(spark):
-    full, empty = page([1, 2]), page([])
+def served(total, short):
+    """A feed of so many entries whose pages are cut to the given sizes, call by call."""
+
+    head, rest = page([]).split("</feed>")[0], "</feed>" + page([]).split("</feed>")[1]
+    every = [ENTRY.format(n=n) for n in range(total)]
 
     def fetch(url):
-        return full if "start=0&" in url else empty
+        asked = dict(part.split("=") for part in url.split("?")[1].split("&"))
+        start, size = int(asked["start"]), int(asked["max_results"])
+        return head + "".join(every[start : start + min(size, short.get(start, size))]) + rest
+
+    return fetch
+
 
-    pages = feed.download(feed.page_requests(spark, "u", "q", 300), fetch, sleep=lambda s: None)
-    assert [r["page"] for r in pages.collect()] == [0]
+@pytest.mark.parametrize(("total", "short", "limit"), [(500, {}, 250), (160, {}, 250), (500, {0: 60, 60: 1}, 200), (0, {}, 10), (5, {0: 5}, 0)])
+def test_download_goes_on_from_what_has_arrived(spark, total, short, limit):
+    got = feed.download(spark, "u", "q", served(total, short), limit, 100, sleep=lambda s: None)
+    papers = feed.papers(feed.entries(got))
+    assert sorted(int(r["title"].split()[-1]) for r in papers.collect()) == list(range(min(total, limit)))
 
 
 def test_entries_become_papers(spark):

@@ -3,9 +3,12 @@
 import io
 import tarfile
 
+import pytest
+
 from folioscope.operators.chunks import duplicate_locations, orphans
 from folioscope.plans.ingestion import ingest
 from folioscope.plugins import HashingEncoder
+from folioscope.schemas import PAPERS
 from folioscope.sources.store import Store
 from folioscope.streaming import ingest as streaming_ingest
 
@@ -50,8 +53,8 @@ def test_ingestion_resumes_and_skips(spark, tmp_path):
 def test_an_unfinished_batch_is_invisible_and_can_be_repeated(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     take(store, arrivals(spark, ("1v1", LONG)), 0)
-    done = spark.read.parquet(f"{store.folder}/chunks/batch=0")
-    done.write.parquet(f"{store.folder}/chunks/batch=1")
+    done = spark.read.parquet(f"{store.folder}/chunks/batch=0").drop("attempt")
+    done.write.parquet(f"{store.folder}/chunks/batch=1/attempt=a0")
     assert store.chunks().count() == 1
     take(store, arrivals(spark, ("2v1", LONG)), 1)
     assert sorted(r["paper_id"] for r in store.chunks().collect()) == ["1v1", "2v1"]
@@ -66,8 +69,42 @@ def test_copies_deletions_and_new_vectors(spark, tmp_path):
     take(store, arrivals(spark, ("1v1", LONG), ("2v1", LONG)), 0)
     assert store.copy_to(str(tmp_path / "c")).chunks().count() == 2
     assert {tuple(r["embedding"]) for r in store.reembedded(Constant(), str(tmp_path / "r")).chunks().collect()} == {(1.0,)}
-    kept = store.without(store.papers().where("paper_id = '1v1'"), str(tmp_path / "w"))
-    assert [r["paper_id"] for r in kept.chunks().collect()] == ["2v1"] and kept.papers().count() == 1
+    take(store, arrivals(spark, ("3v1", LONG)), 1)
+    untouched = sorted(p.name for p in (tmp_path / "s" / "chunks" / "batch=1").iterdir())
+    store.remove(store.papers().where("paper_id = '1v1'"))
+    assert sorted(r["paper_id"] for r in store.chunks().collect()) == ["2v1", "3v1"] and store.papers().count() == 2
+    assert sorted(p.name for p in (tmp_path / "s" / "chunks" / "batch=1").iterdir()) == untouched
+    store.remove(store.papers().where("paper_id = '2v1'"))
+    assert [r["paper_id"] for r in store.papers().collect()] == ["3v1"]
+
+
+def test_a_finished_batch_can_be_repeated(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    offered = arrivals(spark, ("1v1", LONG), ("2v1", f"{LONG}\\par {LONG}"))
+
+    def contents():
+        return sorted((r["paper_id"], r["paragraph"], r["text"], r["batch"]) for r in store.chunks().collect())
+
+    first = take(store, offered, 0)
+    once = contents()
+    again = take(store, offered, 0)
+    assert first == again and contents() == once and store.papers().count() == 2
+    take(store, arrivals(spark, ("1v1", LONG), ("3v1", LONG)), 1)
+    take(store, offered, 0)
+    assert [row for row in contents() if row[3] == 0] == once and store.papers().count() == 3
+
+
+def test_of_several_archives_the_longest_counts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    take(store, arrivals(spark, ("1v1", "short"), ("1v1", f"{LONG}\\par {LONG} and then some")), 0)
+    assert store.chunks().count() == 2
+
+
+def test_only_a_missing_folder_is_an_empty_store(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "papers").write_text("not a table")
+    with pytest.raises(Exception):  # noqa: B017
+        Store(spark, str(tmp_path / "s")).papers().count() or Store(spark, str(tmp_path / "s"))._read("papers", PAPERS).count()
 
 
 def test_a_stream_of_archives_is_ingested_once(spark, tmp_path):

@@ -8,8 +8,10 @@ from folioscope.catalogue import query
 from folioscope.catalogue.inputs import (
     BM25_SCORES,
     DENSE_SCORES,
+    BUCKET,
     FUSED,
     INDEX_CTES,
+    OVERLAP,
     over,
     question_table,
     vector_table,
@@ -166,6 +168,19 @@ found AS (
 """
 
 
+GATHERED_RERANKED = f"""
+{ASKED}, {PLAN},
+subq AS (SELECT query_id * 65536 + min(query_no) AS item_id, text FROM planned GROUP BY query_id, text),
+{over(INDEX_CTES, benchmark="subq")}, {over(BM25_SCORES, benchmark="subq")}, {over(DENSE_SCORES, benchmark="subq")}, {FUSED}, {OVERLAP},
+firsts AS (
+  SELECT query_id // 65536 AS qid, chunk_id, min((query_id % 65536) * 1000 + rank) AS place FROM reranked WHERE rank <= 5 GROUP BY ALL
+),
+found AS (
+  SELECT qid AS query_id, row_number() OVER (PARTITION BY qid ORDER BY place, chunk_id) AS number, chunk_id FROM firsts
+)
+"""
+
+
 def paper_chunks(spark, folder):
     return table(spark, folder, "documents", "doc_id").selectExpr(
         "doc_id as chunk_id", "text", "source || 'v1' as paper_id", "lang as section", "doc_id as paragraph"
@@ -226,6 +241,62 @@ def answer_questions(spark, folder):
     return answers.select("query_id", "refused", F.md5("answer").alias("answer_md5"))
 
 
+def answers_sql(gathered: str, more: str = "", columns: str = "", joins: str = "", answer: str = "") -> str:
+    """Checked answers of the extractive model over a gathered context."""
+    told = "CASE WHEN s.query_id IS NULL THEN '" + REFUSAL + ".' ELSE (SELECT string_agg(claim, ' ' ORDER BY number) FROM claims c WHERE c.query_id = item_id) END"
+    return f"""WITH {gathered},
+    claims AS (
+      SELECT query_id, number, {FIRST_SENTENCE} || ' [' || number || '].' AS claim
+      FROM found JOIN documents ON doc_id = chunk_id WHERE number <= 2
+    ),
+    support AS (
+      SELECT DISTINCT f.query_id FROM found f JOIN qt ON qt.query_id = f.query_id * 65536
+      JOIN tf ON tf.doc_id = f.chunk_id AND tf.term = qt.term WHERE f.number <= 6
+    ){more}
+    SELECT item_id AS query_id, {columns} md5({answer.format(told=told) if answer else told}) AS answer_md5
+    FROM asked LEFT JOIN support s ON s.query_id = item_id {joins}"""
+
+
+@query(f"WITH {GATHERED_RERANKED} SELECT query_id, number, chunk_id FROM found WHERE number <= 6")
+def gather_reranked(spark, folder):
+    """The context of every question by the default plan."""
+    found = answering.gather(Corpus(paper_chunks(spark, folder)), asked(spark, folder))
+    return found.select("query_id", "number", "chunk_id")
+
+
+@query(answers_sql(GATHERED_RERANKED))
+def answer_reranked(spark, folder):
+    """Answers by the default plan."""
+    return answering.answer(Corpus(paper_chunks(spark, folder)), asked(spark, folder)).select("query_id", F.md5("answer").alias("answer_md5"))
+
+
+@query(
+    answers_sql(
+        GATHERED,
+        more=f""",
+    eq0 AS (SELECT item_id, {BUCKET} AS b, count(*)::DOUBLE AS n FROM (
+      SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM asked) GROUP BY 1, 2),
+    eq AS (SELECT item_id, b, (n / sqrt(sum(n * n) OVER (PARTITION BY item_id)))::FLOAT::DOUBLE AS x FROM eq0),
+    held AS (SELECT * FROM eq WHERE item_id IN (SELECT item_id FROM asked WHERE item_id % 3 = 0 ORDER BY item_id DESC LIMIT 256)),
+    near AS (SELECT q.item_id AS qid, h.item_id AS seq, round(sum(q.x * h.x), 6) AS sim FROM eq q JOIN held h USING (b) GROUP BY 1, 2),
+    hits AS (SELECT qid, seq FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, seq) AS r FROM near) WHERE r = 1 AND sim >= 0.9)""",
+        columns="(h.seq IS NOT NULL) AS cached,",
+        joins="LEFT JOIN hits h ON h.qid = item_id",
+        answer="CASE WHEN h.seq IS NOT NULL THEN 'Kept answer ' || h.seq || ' [1].' ELSE {told} END",
+    )
+)
+def answer_cached(spark, folder):
+    """Every third question is in the cache with its answer; the others reach the model."""
+    corpus, questions = Corpus(paper_chunks(spark, folder)), asked(spark, folder)
+    kept = questions.where(F.col("query_id") % 3 == 0)
+    entries = corpus.encoder.questions(kept).select(
+        F.col("query_id").alias("seq"), F.col("text").alias("question"),
+        F.concat(F.lit("Kept answer "), "query_id", F.lit(" [1].")).alias("answer"), "embedding",
+    )
+    answers = answering.answer(corpus, questions, reranked=False, entries=entries)
+    return answers.select("query_id", "cached", F.md5("answer").alias("answer_md5"))
+
+
 # --- citations -------------------------------------------------------------
 
 
@@ -321,21 +392,49 @@ def version_strip(spark, folder):
 # --- events ----------------------------------------------------------------
 
 
-@query(
-    rf"""WITH {ANSWERS},
-    fr AS (
-      SELECT query_id, CASE WHEN query_id % 3 = 0 THEN [answer] ELSE regexp_extract_all(answer, '(\S+\s*|^\s+)', 1) END AS f FROM answers
-    ),
-    tok AS (SELECT query_id, unnest(f) AS data, generate_subscripts(f, 1) AS seq FROM fr)
-    SELECT query_id, seq, 'token' AS event, to_json(data)::VARCHAR AS data FROM tok
-    UNION ALL SELECT query_id, 0, 'passages', NULL FROM fr
-    UNION ALL SELECT query_id, len(f) + 1, 'citations', NULL FROM fr"""
+EVENTS = rf"""
+{ANSWERS},
+fr AS (
+  SELECT query_id, CASE WHEN query_id % 3 = 0 THEN [answer] ELSE regexp_extract_all(answer, '(\S+\s*|^\s+)', 1) END AS f FROM answers
+),
+tok AS (SELECT query_id, unnest(f) AS data, generate_subscripts(f, 1) AS seq FROM fr),
+shown AS (
+  SELECT p.conv_id, to_json(list({{'number': number, 'paper_id': paper_id, 'section': p.role, 'paragraph': p.turn, 'text': c.text}} ORDER BY number))::VARCHAR AS data
+  FROM passages p JOIN conversations c ON c.conv_id = p.conv_id AND c.turn = p.turn GROUP BY p.conv_id
+),
+cites AS (
+  SELECT query_id, list({{'number': number, 'paper_id': paper_id, 'section': role, 'paragraph': turn}} ORDER BY number) AS c
+  FROM chk JOIN passages p ON p.conv_id = chk.conv_id AND list_contains(chk.cited, p.number) GROUP BY query_id
+),
+sent AS (
+  SELECT query_id, seq, 'token' AS event, to_json(data)::VARCHAR AS data FROM tok
+  UNION ALL SELECT chk.query_id, 0, 'passages', shown.data FROM chk LEFT JOIN shown USING (conv_id)
+  UNION ALL SELECT chk.query_id, len(f) + 1, 'citations', '{{"citations":' || coalesce(to_json(c)::VARCHAR, '[]')
+    || ',"invalid":[' || array_to_string(invalid, ',') || '],"grounded":' || grounded || ',"refused":' || refused
+    || ',"cached":' || (chk.query_id % 3 = 0) || '}}'
+  FROM chk JOIN fr USING (query_id) LEFT JOIN cites USING (query_id)
 )
-def event_rows(spark, folder):
+"""
+
+
+def sent_events(spark, folder):
     """Events of every answer; a third of them are replayed as cached."""
-    cached = checked_answers(spark, folder).withColumn("cached", F.col("query_id") % 3 == 0)
-    rows = events.event_rows(cached)
-    return rows.withColumn("data", F.when(F.col("event") == "token", F.col("data")))
+    return events.event_rows(checked_answers(spark, folder).withColumn("cached", F.col("query_id") % 3 == 0))
+
+
+@query(f"WITH {EVENTS} SELECT query_id, seq, event, data FROM sent")
+def event_rows(spark, folder):
+    """All events with their whole payload."""
+    return sent_events(spark, folder)
+
+
+@query(
+    f"""WITH {EVENTS} SELECT query_id, seq, md5('event: ' || event || chr(13) || chr(10) || 'data: ' || data
+      || chr(13) || chr(10) || chr(13) || chr(10)) AS wire_md5 FROM sent"""
+)
+def event_wire(spark, folder):
+    """The text that goes over the wire, event by event."""
+    return events.wire(sent_events(spark, folder)).select("query_id", "seq", F.md5("wire").alias("wire_md5"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioscope.catalogue import query
@@ -12,6 +14,7 @@ from folioscope.catalogue.inputs import (
     INDEX_CTES,
     OVERLAP,
     chunk_table,
+    over,
     question_table,
     vector_table,
 )
@@ -22,7 +25,7 @@ from folioscope.operators import dense, fulltext, fusion, lexical
 from folioscope.operators.rerank import rerank
 from folioscope.plans import retrieval
 from folioscope.plugins import HashingEncoder, OverlapScorer
-from folioscope.session import materialise, table
+from folioscope.session import checkpoint_folder, materialise, table
 
 
 def stemmed_sql(source: str) -> str:
@@ -82,6 +85,62 @@ def term_stats(spark, folder):
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+NAMED = """
+named AS (SELECT 'd' || doc_id AS doc_id, text FROM documents), asked AS (SELECT 'q' || item_id AS item_id, text FROM benchmark)
+"""
+
+
+@query(
+    f"""WITH {NAMED}, {over(INDEX_CTES, "named", "asked")}, {BM25_SCORES}
+    SELECT query_id, rank, chunk_id, score FROM bm25 WHERE rank <= 10"""
+)
+def bm25_topk_named(spark, folder):
+    """The same ranking over identifiers that are not numbers."""
+    chunks = chunk_table(spark, folder).withColumn("chunk_id", F.concat(F.lit("d"), "chunk_id"))
+    questions = question_table(spark, folder).withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    return lexical.search(chunks, questions, limit=10)
+
+
+def saved_index(spark, folder) -> lexical.TermIndex:
+    path = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    lexical.build_index(chunk_table(spark, folder)).save(path)
+    return lexical.TermIndex.load(spark, path)
+
+
+def saved_chunks(spark, folder, *columns: str):
+    """Documents as a stored chunk table with their vectors."""
+    path = f"{checkpoint_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    chunks = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text", *columns)
+    HashingEncoder().passages(chunks).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {INDEX_CTES}, {BM25_SCORES} SELECT query_id, rank, chunk_id, score FROM bm25 WHERE rank <= 10")
+def bm25_stored_topk(spark, folder):
+    """Ranking from a stored index, of which only the questions' partitions are opened."""
+    index = saved_index(spark, folder)
+    return lexical.search(chunk_table(spark, folder), question_table(spark, folder), limit=10, index=index)
+
+
+@query(f"WITH {INDEX_CTES}, {DENSE_SCORES} SELECT query_id, rank, chunk_id, score FROM dense WHERE rank <= 10")
+def dense_stored_topk(spark, folder):
+    """Ranking from stored vectors; only the questions are encoded."""
+    return retrieval.dense_ranking(retrieval.Corpus(saved_chunks(spark, folder)), question_table(spark, folder), 10)
+
+
+@query(
+    f"""WITH {INDEX_CTES}, {BM25_SCORES}, {DENSE_SCORES}, {FUSED}, {OVERLAP}
+    SELECT query_id, rank AS number, chunk_id, score, lang, source, md5(text) AS text_md5
+    FROM reranked JOIN documents ON doc_id = chunk_id WHERE rank <= 5"""
+)
+def search_stored_passages(spark, folder):
+    """The whole default search over stored postings, vectors and texts."""
+    chunks = saved_chunks(spark, folder, "lang", "source")
+    corpus = retrieval.Corpus(chunks, index=saved_index(spark, folder))
+    found = retrieval.passages(corpus, question_table(spark, folder))
+    return found.withColumn("text_md5", F.md5("text")).drop("text")
+
+
 @query(
     f"""WITH {INDEX_CTES},
     raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, tot)

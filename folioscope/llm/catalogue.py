@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, chat, jaccard, lines, ngrams, packing, passages, quality, urls, vectors
+from folioscope.llm.common import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,11 +39,78 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.duplicates(read(spark, folder, "documents"), percent=80)
 
 
-@query()
+WORD = r"[^\x20\x09-\x0D]+"
+STEP = (1 + quality.ACCURACY) / (1 - quality.ACCURACY)
+
+
+def _quality_sql() -> str:
+    """Counts, sketches and cutoffs; the same constants, another engine."""
+    metrics = list(quality.METRICS)
+    bucket = f"CASE WHEN v <= 0 THEN {-(1 << 30)} ELSE CAST(ceil(round(ln(v) / ln({STEP!r}::DOUBLE), 9)) AS INT) END"
+    value = f"CASE WHEN b = {-(1 << 30)} THEN 0.0 ELSE round(pow({STEP!r}::DOUBLE, b::DOUBLE) * {2 / (1 + STEP)!r}::DOUBLE, 9) END"
+
+    def quantiles(name: str, keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        pick = ", ".join(
+            f"min(CASE WHEN upto >= ceil(n_all * {share!r}::DOUBLE) THEN b END) AS {label}"
+            for label, share in (("lo", 1 - quality.OUTER), ("mid", quality.MIDDLE), ("hi", quality.OUTER))
+        )
+        cuts = []
+        for metric, (least, both) in quality.METRICS.items():
+            high = f"h + greatest({quality.WIDTH} * (h - m), {least})"
+            cuts.append(f"max(CASE WHEN metric = '{metric}' THEN {high} END) AS {metric}_max")
+            if both:
+                low = f"l - greatest({quality.WIDTH} * (m - l), {least})"
+                cuts.append(f"max(CASE WHEN metric = '{metric}' THEN {low} END) AS {metric}_min")
+        read = ", ".join(f"({value.replace('b =', f'{x} =').replace(', b::', f', {x}::')}) AS {y}" for x, y in (("lo", "l"), ("mid", "m"), ("hi", "h")))
+        return f"""
+        {name}_b AS (SELECT {by}metric, b, sum(n) AS n FROM sk GROUP BY ALL),
+        {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {by}metric) AS n_all FROM {name}_b),
+        {name}_q AS (SELECT {by}metric, max(n_all) AS n_all, {pick} FROM {name}_c GROUP BY {by}metric),
+        {name} AS (SELECT {by}max(n_all) AS n_all, {", ".join(cuts)} FROM (SELECT *, {read} FROM {name}_q) {f"GROUP BY {keys}" if keys else ""})"""
+
+    enough = quality.ENOUGH
+    level = f"CASE WHEN coalesce(g.n_all, 0) >= {enough} THEN 0 WHEN coalesce(y.n_all, 0) >= {enough} THEN 1 ELSE 2 END"
+    names = [f"{m}_max" for m in metrics] + [f"{m}_min" for m, (_, both) in quality.METRICS.items() if both]
+    chosen = ", ".join(f"CASE {level} WHEN 0 THEN g.{c} WHEN 1 THEN y.{c} ELSE e.{c} END AS {c}" for c in names)
+    outside = " OR ".join([f"{m} > {m}_max" for m in metrics] + [f"{m} < {m}_min" for m, (_, both) in quality.METRICS.items() if both])
+    return f"""
+    WITH w AS (
+      SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM documents
+    ),
+    win AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 2], ' ') AS g FROM (
+      SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS pos FROM w)),
+    often AS (SELECT doc_id, g FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+    rep AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM win JOIN often USING (doc_id, g), (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+    c AS (
+      SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
+      FROM w LEFT JOIN rep USING (doc_id)
+    ),
+    m AS (
+      SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share,
+        n_repeat_words / greatest(n_words, 1) AS repeat_share, word_chars / greatest(n_words, 1) AS word_length,
+        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+    ),
+    each AS ({" UNION ALL ".join(f"SELECT lang, source, '{x}' AS metric, {x} AS v FROM m WHERE NOT base_failed" for x in metrics)}),
+    sk AS (SELECT lang, source, metric, {bucket} AS b, count(*) AS n FROM each GROUP BY ALL),
+    {quantiles("g", "lang, source")}, {quantiles("y", "lang")}, {quantiles("e", "")},
+    j AS (
+      SELECT m.*, {level} AS cutoff_level, {chosen} FROM m
+      LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source
+      LEFT JOIN y ON m.lang IS NOT DISTINCT FROM y.lang LEFT JOIN e ON true
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT base_failed AND NOT coalesce({outside}, false) AS kept, {", ".join(metrics)}, cutoff_level::BIGINT AS cutoff_level FROM j"""
+
+
+@query(_quality_sql())
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(read(spark, folder, "documents"))
     words = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *words, "base_failed", "kept", *quality.METRICS, "cutoff_level")
+    return judged.select("doc_id", *words, "base_failed", "kept", *quality.METRICS, F.col("cutoff_level").cast("long").alias("cutoff_level"))
 
 
 def tokenizer() -> str:
@@ -57,7 +125,22 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), tokenizer(), capacity=2048, end_id=0)
 
 
-@query()
+@query(
+    rf"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+    reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+    least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id
+    FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+    """
+)
 def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.linked(read(spark, folder, "documents"), width=4, percent=85)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import stored
+from folioscope.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Smaller neighbours, and the node itself, hook to the smallest of them.
         least = up.groupBy("u").agg(F.min("v").alias("_m"))
         down = up.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("_m").alias("v"))
-        edges, after = _settled(_ordered(down))
+        before, (edges, after) = edges, _settled(_ordered(down))
+        discard(before)
         if after == state:
             break
         state = after

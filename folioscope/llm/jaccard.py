@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WordHashes, extended, long_lists, mix, parts, small, stored, windows, word_hashes
+from folioscope.llm.common import WordHashes, discard, extended, long_lists, mix, parts, small, stored, windows, word_hashes
 from folioscope.llm.graph import components
 
 SKETCH_BITS = 512
@@ -147,38 +147,41 @@ def _possible(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are as similar as asked, by the sets of just the documents concerned."""
+    """The pairs (u, v) whose sets are as similar as asked, stored; by the sets of just the documents concerned."""
     pairs = stored(pairs)
     ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    sets = stored(sets_of(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi"), width))
-    sets = sets.dropDuplicates(["doc_id"])
+    whole = stored(sets_of(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi"), width))
+    sets = whole.dropDuplicates(["doc_id"])
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("_set").alias("_x")), "u")
     both = both.join(sets.select(F.col("doc_id").alias("v"), F.col("_set").alias("_y")), "v")
     shared = F.size(F.array_intersect("_x", "_y"))
-    return both.where(100 * shared >= percent * (F.size("_x") + F.size("_y") - shared)).select("u", "v")
+    links = stored(both.where(100 * shared >= percent * (F.size("_x") + F.size("_y") - shared)).select("u", "v"))
+    discard(pairs, ids, whole)
+    return links
 
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id per row: the smallest id reachable over links of at least `percent` Jaccard."""
     made = stored(described(docs, width, percent))
-    about = made.select("doc_id", "n_shingles", "_a", "_b").where(F.col("n_shingles") > 0)
-    groups = about.groupBy("n_shingles", "_a", "_b").agg(F.min("doc_id").alias("_head"), F.count(F.lit(1)).alias("_n"))
-    equal = about.join(groups.where("_n > 1"), ["n_shingles", "_a", "_b"]).select(F.col("doc_id").alias("u"), F.col("_head").alias("v"))
+    about = stored(made.drop("_keys"))
+    filled = about.where(F.col("n_shingles") > 0)
+    groups = filled.groupBy("n_shingles", "_a", "_b").agg(F.min("doc_id").alias("_head"), F.count(F.lit(1)).alias("_n"))
+    equal = filled.join(groups.where("_n > 1"), ["n_shingles", "_a", "_b"]).select(F.col("doc_id").alias("u"), F.col("_head").alias("v"))
     equal = stored(equal.where("u <> v").distinct())
 
     keys = made.select("doc_id", F.explode("_keys").alias("_key"))
     part = Window.partitionBy("_key")
     met = keys.withColumns({"_head": F.min("doc_id").over(part), "_last": F.max("doc_id").over(part)})
     met = stored(met.where("_head <> _last").select("_key", "doc_id", "_head"))
+    discard(made)
 
-    about = made.select("doc_id", "n_shingles", "_sketch")
-    concerned = about.join(small(stored(met.select("doc_id").distinct())), "doc_id", "left_semi")
+    concerned = about.select("doc_id", "n_shingles", "_sketch").join(small(stored(met.select("doc_id").distinct())), "doc_id", "left_semi")
     concerned = stored(concerned.dropDuplicates(["doc_id"]))
     stars = met.where("doc_id <> _head").select(F.col("doc_id").alias("u"), F.col("_head").alias("v")).distinct()
     a = concerned.select(F.col("doc_id").alias("u"), F.struct("n_shingles", "_sketch").alias("_p"))
     b = concerned.select(F.col("doc_id").alias("v"), F.struct("n_shingles", "_sketch").alias("_q"))
     stars = stars.join(a, "u").join(b, "v").where(_possible("_p", "_q", percent)).select("u", "v")
-    links = stored(_verified(stars, docs, width, percent))
+    links = _verified(stars, docs, width, percent)
     edges = equal.unionByName(links)
     so_far = stored(components(edges))
 
@@ -193,9 +196,10 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     pairs = left.join(right, apart & _possible("_p", "_q", percent))
     pairs = pairs.select(F.col("l.doc_id").alias("u"), F.col("r.doc_id").alias("v")).distinct()
     pairs = pairs.join(stars_seen(met), ["u", "v"], "left_anti")
-    late = stored(_verified(pairs, docs, width, percent))
-    final = so_far if late.isEmpty() else components(edges.unionByName(late))
-    result = made.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    late = _verified(pairs, docs, width, percent)
+    final = so_far if late.isEmpty() else stored(components(edges.unionByName(late)))
+    discard(equal, links, late, met, concerned, open_rows)
+    result = about.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return result.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

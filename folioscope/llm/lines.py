@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import small, stored
+from folioscope.llm.common import discard, small, stored
 from folioscope.llm.graph import components
 
 SHINGLE = r"(?<![^\s⺀-\x{10FFFF}])(?=(\S.{0,7}))"
@@ -66,7 +66,7 @@ def _agree(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are as similar as asked; only lines concerned are read again."""
+    """The pairs (u, v) of nodes whose sets are as similar as asked, stored; only lines concerned are read again."""
     pairs = stored(pairs)
     nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     ids = stored(nodes.select("node.doc_id").distinct())
@@ -76,7 +76,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("_set").alias("_x")), "u")
     both = both.join(sets.select(F.col("node").alias("v"), F.col("_set").alias("_y")), "v")
     shared = F.size(F.array_intersect("_x", "_y"))
-    return both.where(100 * shared >= percent * (F.size("_x") + F.size("_y") - shared)).select("u", "v")
+    links = stored(both.where(100 * shared >= percent * (F.size("_x") + F.size("_y") - shared)).select("u", "v"))
+    discard(pairs, nodes, ids, sets)
+    return links
 
 
 def duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -96,7 +98,7 @@ def duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     stars = met.where("node <> _head").select(F.col("node").alias("u"), F.col("_head").alias("v")).distinct()
     tested = stars.join(concerned.withColumnRenamed("node", "u"), "u")
     tested = tested.join(concerned.select(F.col("node").alias("v"), F.col("_p").alias("_q")), "v").where(_agree("_p", "_q"))
-    links = stored(_verified(tested.select("u", "v"), docs, percent))
+    links = _verified(tested.select("u", "v"), docs, percent)
     so_far = stored(components(links))
 
     # Keys that still span several components: neighbours in the order of minima.
@@ -110,13 +112,14 @@ def duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = rows.select("node", "_group", "_p", F.explode("_others").alias("_o")).where("_o._group <> _group")
     pairs = pairs.where(_agree("_p", "_o._q"))
     pairs = pairs.select(F.greatest("node", "_o.node").alias("u"), F.least("node", "_o.node").alias("v")).distinct()
-    late = stored(_verified(pairs.join(stars, ["u", "v"], "left_anti"), docs, percent))
+    late = _verified(pairs.join(stars, ["u", "v"], "left_anti"), docs, percent)
     groups = so_far if late.isEmpty() else stored(components(links.unionByName(late)))
 
     moved = groups.where("node <> component")
     kept = distinct.select("_a", "_b", "node", "n").join(moved, "node", "left")
     kept = kept.where("n > 1 OR component IS NOT NULL")
     kept = stored(kept.select("_a", "_b", F.col("node").alias("_first"), F.coalesce("component", "node").alias("_kept")))
+    discard(distinct, met, concerned, links, late, groups)
     gone = lines.select("doc_id", "line_no", "_a", "_b").join(small(kept), ["_a", "_b"])
     gone = gone.where(F.struct("doc_id", "line_no") != F.col("_kept"))
     return gone.select(

@@ -3,7 +3,9 @@
 A mergeable sketch brackets each wanted position; an exact count of what lies
 below the bracket and a running count over the distinct values inside it then
 give the value itself. Only the bracket, about a five-hundredth of the rows and
-fewer after counting equal values together, is ever sorted per group.
+fewer after counting equal values together, is ever sorted per group. Where that
+could be more than `SORTED_ROWS`, the bracket is first narrowed to the one of many
+bins that holds the position, as often as it takes.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from folioscope.session import materialise
 
 SKETCH_ACCURACY = 10_000
 BRACKET = 0.001  # ten times the sketch's rank error
+SORTED_ROWS = 1_000_000
+BINS = 4096
 
 
 @dataclass(frozen=True)
@@ -51,7 +55,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, positions: list
         *[sketch(p.fraction - BRACKET).alias(f"_low_{i}") for i, p in enumerate(positions)],
         *[sketch(p.fraction + BRACKET).alias(f"_high_{i}") for i, p in enumerate(positions)],
     )
-    wanted = F.array(
+    positions_of = F.array(
         *[
             F.struct(
                 F.lit(p.name).alias("position"),
@@ -62,12 +66,16 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, positions: list
             for i, p in enumerate(positions)
         ]
     )
-    brackets = materialise(bounds.select(*keys, "n", wanted.alias("_wanted")))
-    extent = measure(brackets)
-    placed = spread_join(rows, brackets, keys, extent.fits(per_row=80 * len(positions)), spread=["_v"])
+    brackets = materialise(bounds.select(*keys, "n", positions_of.alias("_wanted")))
+    fits = measure(brackets).fits(per_row=80 * len(positions))
+    most = 4 * BRACKET * (brackets.agg(F.max("n")).first()[0] or 0)  # twice what the sketch promises
+    while most > SORTED_ROWS:
+        brackets, inside = _narrowed(rows, brackets, keys, fits)
+        if inside >= most:  # equal values cannot be told apart further, and are counted as one
+            break
+        most = inside
     zones = (
-        placed.select(*keys, "n", "_v", F.explode("_wanted").alias("_w"))
-        .where(F.col("_v") <= F.col("_w.high"))
+        _below_the_end(rows, brackets, keys, fits)
         .groupBy(*keys, "n", "_w", F.when(F.col("_v") >= F.col("_w.low"), F.col("_v")).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
@@ -78,6 +86,33 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, positions: list
     ).select(*keys, F.col("_w.position").alias("position"), "n", F.col("_v").alias("value"))
 
 
+def _below_the_end(rows: DataFrame, brackets: DataFrame, keys: list[str], fits: bool) -> DataFrame:
+    """Every value beside each of its group's brackets whose end it does not exceed."""
+    placed = spread_join(rows, brackets, keys, fits, spread=["_v"])
+    each = placed.select(*keys, "n", "_v", F.explode("_wanted").alias("_w"))
+    return each.where(F.col("_v") <= F.col("_w.high"))
+
+
+def _narrowed(rows: DataFrame, brackets: DataFrame, keys: list[str], fits: bool) -> tuple[DataFrame, int]:
+    """Brackets cut down to the bin that holds their position, and the rows of the fullest one.
+
+    A group has at most `BINS` bins per position and one for all that lies below, so the running count is short.
+    """
+    width = (F.col("_w.high") - F.col("_w.low")) / BINS
+    number = F.least(F.floor((F.col("_v") - F.col("_w.low")) / width), F.lit(BINS - 1))
+    number = F.when(F.col("_v") < F.col("_w.low"), -1).when(width > 0, number).otherwise(0)
+    bins = _below_the_end(rows, brackets, keys, fits).groupBy(*keys, "n", "_w", number.alias("_bin"))
+    bins = bins.agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+    running = Window.partitionBy(*keys, "_w").orderBy("_bin")
+    counted = bins.withColumn("_upto", F.sum("_c").over(running))
+    index = F.col("_w.index")
+    chosen = counted.where((F.col("_upto") > index) & (F.col("_upto") - F.col("_c") <= index))
+    narrow = F.struct(F.col("_w.position").alias("position"), F.col("_from").alias("low"), F.col("_to").alias("high"), index.alias("index"))
+    packed = chosen.groupBy(*keys, "n").agg(F.collect_list(narrow).alias("_wanted"), F.max("_c").alias("_most"))
+    packed = materialise(packed)
+    return packed.drop("_most"), int(packed.agg(F.max("_most")).first()[0] or 0)
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """One column per named fraction, by the nearest-rank rule."""
     found = order_statistics(df, keys, value, [nearest_rank(name, f) for name, f in fractions.items()])

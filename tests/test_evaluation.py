@@ -83,3 +83,15 @@ def test_reports(spark):
     table = spark.createDataFrame([("dense", 0.5), ("bm25", 0.25)], "retriever string, mrr double")
     lines = evaluation.markdown_rows(table, "retriever", {"mrr": ("MRR", 3)}, ["bm25", "dense"]).orderBy("line").collect()
     assert [r["text"] for r in lines] == ["| Retriever | MRR |", "|---|---:|", "| `bm25` | 0.250 |", "| `dense` | 0.500 |"]
+
+
+def test_wide_brackets_are_narrowed_before_anything_is_sorted(spark, monkeypatch):
+    rng = random.Random(6)
+    values = {"even": [rng.random() for _ in range(4000)], "steep": [math.exp(rng.gauss(0, 8)) for _ in range(4001)], "flat": [2.5] * 3000 + [7.0]}
+    rows = spark.createDataFrame([(g, v) for g, own in values.items() for v in own], "g string, v double").repartition(5)
+    monkeypatch.setattr(quantiles, "SORTED_ROWS", 3)
+    monkeypatch.setattr(quantiles, "BINS", 8)
+    got = {r["g"]: r for r in quantiles.percentiles(rows, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p95": 0.95}).collect()}
+    for g, own in values.items():
+        own = sorted(own)
+        assert [got[g][p] for p in ("p10", "p50", "p95")] == [own[min(int(len(own) * f), len(own) - 1)] for f in (0.1, 0.5, 0.95)]

@@ -215,7 +215,7 @@ class _Words(dict):
 class Encoder(dict):
     """Texts to ids and back. As a dictionary it remembers runs of text, up to `LIMIT` of them; results never depend on it."""
 
-    LIMIT = 300_000
+    LIMIT = 600_000
 
     def __init__(self, vocabulary: Vocabulary):
         from tokenizers import pre_tokenizers

@@ -3,6 +3,7 @@ cut lineage and the tables of a data folder."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ def local_session(cpus: int | str = "*", app: str = "folioscope", partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config(INPUT_PARTITIONS, str(os.cpu_count() if cpus == "*" else cpus))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -49,21 +51,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SMALL_TABLE_BYTES = 256 * 1024 * 1024
+#: Into how many parts tables are dealt as they are read, where a session says so.
+INPUT_PARTITIONS = "spark.folioscope.inputPartitions"
 
 
 def table(spark: SparkSession, folder: str, name: str, key: str | None = None) -> DataFrame:
-    """A table of a data folder.
+    """A table of a data folder, read as it lies.
 
-    With a `key`, a table that is small on disk is spread over the session's
-    cores by it: a few megabytes of text in one row group would otherwise be
-    processed by one task. Larger tables have row groups enough and are read as
-    they lie; the size comes from the file listing alone.
+    A session over small files with one row group each may ask, by the setting
+    `spark.folioscope.inputPartitions`, for tables to be dealt into so many parts
+    by their `key`; `local_session` asks for as many as it has cores. Nothing
+    depends on a table's size.
     """
-    path = f"{folder}/{name}.parquet"
-    rows = spark.read.parquet(path)
-    if key is None:
-        return rows
-    listed = spark.read.format("binaryFile").load(path).agg({"length": "sum"}).first()[0] or 0
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if listed <= SMALL_TABLE_BYTES else rows
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return rows.repartition(int(parts), key) if key and parts else rows

@@ -9,7 +9,8 @@ neither. A set with more empty parts than that keeps them all.
 
 Sets that share a part are first checked against the smallest of them. What hangs together then needs no further
 check; only where a part still spans several components are the remaining pairs made, between components alone and
-with sizes and a 512-bit sketch tested inside the join. Every candidate is verified on the whole sets. So no link is
+with sizes and sketches tested inside the join. These
+sketches have as many bits as the set has shingles, to a power of two, so that a longer one folds onto a shorter. Every candidate is verified on the whole sets. So no link is
 lost, and a group of n copies costs n checks per part.
 
 Null and empty texts have no shingles and link with nothing. Texts with fewer words than a shingle are one shingle.
@@ -22,7 +23,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import WordHashes, discard, extended, long_lists, mix, parts, small, stored, windows, word_hashes
 from folioscope.llm.graph import components
 
-SKETCH_BITS = 512
+LEAST_BITS = 512
 _U = np.uint64
 
 
@@ -83,7 +83,8 @@ def part_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    bits = np.bincount((mix(found + _U(7)) % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    size = max(LEAST_BITS, 1 << len(found).bit_length())
+    bits = np.bincount((mix(found + _U(7)) % _U(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
@@ -138,12 +139,18 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
 def _possible(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches allow the similarity."""
     size_a, size_b = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    distance = reduce(
-        lambda x, y: x + y,
-        [F.bit_count(F.col(f"{a}._sketch")[i].bitwiseXOR(F.col(f"{b}._sketch")[i])) for i in range(SKETCH_BITS // 64)],
-    )
+    x, y = F.col(f"{a}._sketch"), F.col(f"{b}._sketch")
+    words = F.least(F.size(x), F.size(y))
+    differing = F.zip_with(_folded(x, words), _folded(y, words), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    distance = F.aggregate(differing, F.lit(0), lambda total, n: total + n)
     ratio = (100 * F.least(size_a, size_b)) >= percent * F.greatest(size_a, size_b)
-    return ratio & ((100 + percent) * distance <= (100 - percent) * (size_a + size_b))
+    # Sizes are compared first: within the ratio, one sketch is at most twice as long as the other.
+    return F.when(ratio, (100 + percent) * distance <= (100 - percent) * (size_a + size_b)).otherwise(False)
+
+
+def _folded(sketch: Column, words: Column) -> Column:
+    halves = F.slice(sketch, F.lit(1), words), F.slice(sketch, words + 1, words)
+    return F.when(F.size(sketch) == words, sketch).otherwise(F.zip_with(*halves, lambda p, q: p.bitwiseXOR(q)))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as contract
+from folioscope import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="tables not present")
@@ -16,9 +17,16 @@ def db():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", contract.queries())
+catalogue.load_all()
+
+
+@pytest.mark.parametrize("name", catalogue.QUERIES)
 def test_query_equals_its_sql(spark, db, name):
-    assert difference(contract.queries()[name](spark, FOLDER), db, contract.oracle_sql()[name]) is None
+    assert difference(catalogue.QUERIES[name](spark, FOLDER), db, catalogue.SQL[name]) is None
+
+
+def test_the_contract_has_the_whole_catalogue():
+    assert set(catalogue.QUERIES) <= set(contract.queries()) and set(catalogue.SQL) <= set(contract.oracle_sql())
 
 
 def test_entry_has_rows(spark):

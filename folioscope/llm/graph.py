@@ -37,6 +37,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of `components` after some more links (u, v): only what these hold together is gone through."""
+    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    new = nodes.join(groups.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    every = groups.unionByName(new)
+    ends = [every.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in ("u", "v")]
+    labels = links.join(ends[0], "u").join(ends[1], "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    higher = components(labels).select(F.col("node").alias("component"), F.col("component").alias("_higher"))
+    return every.join(higher, "component", "left").select("node", F.coalesce("_higher", "component").alias("component"))
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     """Distinct edges from the larger to the smaller node."""
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))

@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import discard, small, stored
-from folioscope.llm.graph import components
+from folioscope.llm.graph import components, joined
 
-SHINGLE = r"(?<![^\s⺀-\x{10FFFF}])(?=(\S.{0,7}))"
+#: Applied to a line with a blank in front: what stands before a place where a shingle begins.
+SHINGLE = r"[\s⺀-\x{10FFFF}](?=(\S.{0,7}))"
 HASHES, ROWS, BANDS, SEED = 20, 4, 12, 11
 NEIGHBOURS = 2
 _BITS = (1 << 31) - 1
@@ -46,15 +47,19 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"_a": F.xxhash64("line"), "_b": F.xxhash64(F.lit(3), "line")})
 
 
+def shingles(line: Column) -> Column:
+    return F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(SHINGLE), 1)
+
+
 def shingle_hashes(line: Column) -> Column:
-    return F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), 1), lambda s: F.xxhash64(s))
+    return F.transform(shingles(line), lambda s: F.xxhash64(s))
 
 
 def signed(lines: DataFrame) -> DataFrame:
     """One row per distinct line: its first place (node), how often it occurs and its minima."""
     flips, _ = _choices()
     places = lines.groupBy("_a", "_b").agg(F.min(F.struct("doc_id", "line_no")).alias("node"), F.count(F.lit(1)).alias("n"))
-    each = lines.select("_a", "_b", F.explode(F.regexp_extract_all("line", F.lit(SHINGLE), 1)).alias("_s"))
+    each = lines.select("_a", "_b", F.explode(shingles(F.col("line"))).alias("_s"))
     each = each.select("_a", "_b", F.xxhash64("_s").bitwiseAND(F.lit(_BITS)).cast("int").alias("_x"))
     minima = [F.min(F.col("_x").bitwiseXOR(F.lit(flip))) for flip in flips]
     return places.join(each.groupBy("_a", "_b").agg(F.array(*minima).alias("_m")), ["_a", "_b"])
@@ -113,13 +118,13 @@ def duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = pairs.where(_agree("_p", "_o._q"))
     pairs = pairs.select(F.greatest("node", "_o.node").alias("u"), F.least("node", "_o.node").alias("v")).distinct()
     late = _verified(pairs.join(stars, ["u", "v"], "left_anti"), docs, percent)
-    groups = so_far if late.isEmpty() else stored(components(links.unionByName(late)))
+    groups = stored(joined(so_far, late))
 
     moved = groups.where("node <> component")
     kept = distinct.select("_a", "_b", "node", "n").join(moved, "node", "left")
     kept = kept.where("n > 1 OR component IS NOT NULL")
     kept = stored(kept.select("_a", "_b", F.col("node").alias("_first"), F.coalesce("component", "node").alias("_kept")))
-    discard(distinct, met, concerned, links, late, groups)
+    discard(distinct, met, concerned, links, so_far, late, groups)
     gone = lines.select("doc_id", "line_no", "_a", "_b").join(small(kept), ["_a", "_b"])
     gone = gone.where(F.struct("doc_id", "line_no") != F.col("_kept"))
     return gone.select(

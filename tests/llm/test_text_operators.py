@@ -11,7 +11,7 @@ from brute import shingle_set, similar_pairs, smallest_reachable, words
 from pyspark.sql import functions as F
 
 from folioscope.llm import jaccard, lines, ngrams, passages, quality
-from folioscope.llm.graph import components
+from folioscope.llm.graph import components, joined
 from folioscope.llm.trie import Monotone, Shelf, Trie, quantised, restored
 
 ODD = [None, "", " \n\t ", "a", "a b", "A  b\x0bc d", "x" * 30_000, "same words here " * 400, "same words here " * 400]
@@ -38,6 +38,14 @@ def test_components_of_a_path_a_star_and_loops(spark):
     assert got == smallest_reachable({n for e in path + star for n in e}, path + star)
 
 
+def test_components_after_more_links(spark):
+    first, more = [(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (30, 31), (21, 40), (2, 1)]
+    edges, links = (spark.createDataFrame(rows, "u long, v long") for rows in (first, more))
+    got = {r["node"]: r["component"] for r in joined(components(edges), links).collect()}
+    assert got == smallest_reachable({n for e in first + more for n in e}, first + more)
+    assert sorted(joined(components(edges), links.limit(0)).collect()) == sorted(components(edges).collect())
+
+
 def test_components_without_edges(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 

@@ -1,7 +1,7 @@
 """Fuzzy duplicate lines, by column expressions alone.
 
-A line's set holds hashes of its character shingles: the eight characters from every place where a word begins (or an
-ideograph stands). `HASHES` minima over differently flipped hashes sign the set; `BANDS` choices of `ROWS` minima are
+A line's set holds its character shingles: the eight characters from every place that has as many after it; a shorter
+line is one shingle. `HASHES` minima over differently flipped hashes sign the set; `BANDS` choices of `ROWS` minima are
 the keys under which similar lines meet. Equal lines are folded before that by a 128-bit hash. Lines that meet are
 checked against the first of them; where a key then still spans several components, its lines are put in order of
 their minima, from another one on for each key, and neighbours of different components are checked: like lines stand
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import discard, small, stored
 from folioscope.llm.graph import components, joined
 
-#: Applied to a line with a blank in front: what stands before a place where a shingle begins.
-SHINGLE = r"[\s⺀-\x{10FFFF}](?=(\S.{0,7}))"
+#: One match per character that a shingle begins with.
+SHINGLE = r"(?s)(?=(.{8}|^.{1,7}\z))."
 HASHES, ROWS, BANDS, SEED = 20, 4, 12, 11
 NEIGHBOURS = 2
 _BITS = (1 << 31) - 1
@@ -48,11 +48,7 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 
 def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(SHINGLE), 1)
-
-
-def shingle_hashes(line: Column) -> Column:
-    return F.transform(shingles(line), lambda s: F.xxhash64(s))
+    return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
 
 
 def signed(lines: DataFrame) -> DataFrame:
@@ -77,12 +73,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ids = stored(nodes.select("node.doc_id").distinct())
     lines = split_lines(docs.join(small(ids), "doc_id", "left_semi")).withColumn("node", F.struct("doc_id", "line_no"))
     lines = lines.join(small(nodes), "node", "left_semi").dropDuplicates(["node"])
-    sets = stored(lines.select("node", F.array_distinct(shingle_hashes(F.col("line"))).alias("_set")))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("_set").alias("_x")), "u")
-    both = both.join(sets.select(F.col("node").alias("v"), F.col("_set").alias("_y")), "v")
-    shared = F.size(F.array_intersect("_x", "_y"))
-    links = stored(both.where(100 * shared >= percent * (F.size("_x") + F.size("_y") - shared)).select("u", "v"))
-    discard(pairs, nodes, ids, sets)
+    # The text is an eighth of its set; the sets are made where they are compared, once per pair.
+    texts = stored(lines.select("node", "line"))
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("line").alias("_x")), "u")
+    both = both.join(texts.select(F.col("node").alias("v"), F.col("line").alias("_y")), "v")
+    sets = F.array(F.struct(*[F.array_distinct(shingles(F.col(c))).alias(c) for c in ("_x", "_y")]))
+
+    def alike(s: Column) -> Column:
+        return (100 + percent) * F.size(F.array_intersect(s["_x"], s["_y"])) >= percent * (F.size(s["_x"]) + F.size(s["_y"]))
+
+    links = stored(both.where(F.exists(sets, alike)).select("u", "v"))
+    discard(pairs, nodes, ids, texts)
     return links
 
 

@@ -269,6 +269,33 @@ def test_cleaned_documents(documents):
     assert lines.clean(documents([])).count() == 0
 
 
+def plain_shingles(line):
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+
+
+def line_texts():
+    """Lines that are alike at word starts only, and lines of which each has a copy with one edit."""
+    chance = random.Random(21)
+    thai = ["".join(chr(0x0E01 + chance.randrange(46)) for _ in range(90)) for _ in range(4)]
+    alike = ["https://example.org/a/very/long/path/one", "https://example.org/other/page?x=9", "Rechnungsnummer: 20240001-A", "Rechnungsnummer: 97316442-B"]
+    alike += ["short", "shore", "seven c", "/usr/share/" + "x" * 40, "/usr/share/" + "y" * 40, "\U0001f600" * 9 + "a", "\U0001f600" * 9 + "b", *thai]
+    alike += [thai[0][:8] + thai[1][8:], thai[2][:40] + "\u0e20" + thai[2][41:], "z" + thai[3]]
+    for k in range(20):
+        path = "https://host/" + "".join(chance.choice("abcdefghij/") for _ in range(150))
+        alike += [path, path[:70] + "Z" + path[71:]]
+    return alike
+
+
+def test_lines_are_compared_at_every_character(documents):
+    texts = line_texts()
+    got = {r["doc_id"]: r["kept_doc_id"] for r in lines.duplicates(documents(texts)).collect()}
+    sets = {i: plain_shingles(line) for i, line in enumerate(texts)}
+    group = smallest_reachable(sets, similar_pairs(sets, 80))
+    want = {i: g for i, g in group.items() if g != i}
+    assert got.items() <= want.items() and len(want) >= 22
+    assert len(got) >= 0.97 * len(want)
+
+
 # ---- op7
 
 

@@ -296,6 +296,24 @@ def test_lines_are_compared_at_every_character(documents):
     assert len(got) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("block", [37, 2048])
+def test_lines_of_one_template_are_all_compared(documents, block, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", block, raising=False)
+    chance = random.Random(22)
+    frame = "".join(chance.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200))
+    texts = []
+    for _ in range(150):
+        own = "".join(chance.choice("0123456789") for _ in range(40))
+        texts.append(f"{frame[:100]}|{own}|{frame[100:]}")
+        texts.append(f"{frame[:100]}|{own[:20]}x{own[21:]}|{frame[100:]}")
+    chance.shuffle(texts)
+    sets = {i: plain_shingles(line) for i, line in enumerate(texts)}
+    want = {i: g for i, g in smallest_reachable(sets, similar_pairs(sets, 80)).items() if g != i}
+    assert len(want) == 150
+    got = {r["doc_id"]: r["kept_doc_id"] for r in lines.duplicates(documents(texts)).collect()}
+    assert got == want
+
+
 # ---- op7
 
 

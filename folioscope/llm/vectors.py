@@ -1,6 +1,6 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products, one representative per group.
 
-Cells are fitted on a bounded sample; every vector is assigned. A vector is compared with the members of its own cell
+Cells are fitted on a bounded sample; every vector is assigned, and a length too rare for the sample is one cell. A vector is compared with the members of its own cell
 and of every other cell that could hold a vector within the threshold: if `y` lies in cell `c'` and `|x - y| <= r` for
 unit vectors, then `x.c - x.c' <= r * |c - c'|`, for whichever cell `c` holds `x`. That bound loses no link, whatever
 the sample was; but in many dimensions hardly any difference points straight at another centroid, and by default the
@@ -104,10 +104,14 @@ def near_duplicates(
             at, sizes, cells, members = [], [], [], []
             for size in np.unique(lengths).tolist():
                 mine = np.flatnonzero(lengths == size)
-                likeness = unit_rows(lists.take(pa.array(mine))) @ centroids[size].T
-                home = likeness.argmax(axis=1)
-                best = likeness[np.arange(len(mine)), home]
-                query, probed = np.nonzero(best[:, None] - likeness <= reach[size][home])
+                if size in centroids:
+                    likeness = unit_rows(lists.take(pa.array(mine))) @ centroids[size].T
+                    home = likeness.argmax(axis=1)
+                    best = likeness[np.arange(len(mine)), home]
+                    query, probed = np.nonzero(best[:, None] - likeness <= reach[size][home])
+                else:  # too rare for the sample: one cell, so all of that length are compared
+                    home = probed = np.zeros(len(mine), dtype=np.int64)
+                    query = np.arange(len(mine))
                 at += [mine, mine[query]]
                 cells += [home, probed]
                 members += [np.ones(len(mine), dtype=bool), np.zeros(len(query), dtype=bool)]

@@ -218,6 +218,19 @@ def test_near_vectors_are_linked(spark, deviations, monkeypatch):
     assert got[5007]["component_id"] == 5006 and len(got) == len(rows)
 
 
+def test_lengths_that_the_sample_misses_are_compared(spark):
+    chance = np.random.default_rng(23)
+    made = [v.tolist() for v in chance.normal(size=(300, 24))]
+    for size in range(3, 11):
+        own = chance.normal(size=size)
+        made += [own.tolist(), (own * 2 + 1e-3).tolist(), (-own).tolist()]
+    table = spark.createDataFrame([*enumerate(made)], "id long, v array<double>")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(table, "id", "v", sample=16).collect()}
+    assert len(got) == 324
+    for first in range(300, 324, 3):
+        assert [got[first + k] for k in range(3)] == [(1, first), (1, first), (0, first + 2)]
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_duplicates(empty, "vec_id", "embedding").count() == 0

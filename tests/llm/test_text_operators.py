@@ -338,6 +338,17 @@ def test_repeated_passages_are_found_and_clean_documents_are_not(documents):
     assert spans[9][0] <= begin and spans[9][1] >= begin + 70
 
 
+def test_exact_passages_are_found_behind_partial_quotes(documents):
+    filler, held = made_up(120, 32, 60, 90, 5000), made_up(30, 33, 52, 52, 50_000)
+    texts = [*filler[:30]]
+    for k in range(30):
+        texts[k] = f"{filler[k]} {' '.join(held[k].split()[:40])} {filler[k + 30]}"
+    texts += [f"{filler[k + 60]} {held[k]}" for k in range(30)] + [f"{held[k]} {filler[k + 90]}" for k in range(30)]
+    rows = passages.repeated(documents(texts)).collect()
+    got = {(r["doc_id"], r["ref_doc_id"]) for r in rows}
+    assert {(60 + k, 30 + k) for k in range(30)} == got
+
+
 def test_passages_are_cut_out(documents):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = documents([f"start\n{passage}\nend", f"before it\n{passage}\nafter it", passage, None, ""])

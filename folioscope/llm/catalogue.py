@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, jaccard, lines, ngrams, packing, passages, quality, urls, vectors
+from folioscope.llm import bpe, chat, decontamination, infill, jaccard, lines, ngrams, packing, passages, quality, turns, urls, vectors
 from folioscope.llm.common import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,87 @@ URL_RULES = [
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     judged = urls.judge(read(spark, folder, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", F.col("block_probability"))
+
+
+@query(
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+    h AS (SELECT doc_id, t, length(t) AS n, list_transform(range(0, 4), lambda i: ('0x' || substr(x, 8 * i + 1, 8))::BIGINT) AS h FROM d),
+    c AS (
+        SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+    ), p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+            ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM p
+    """
+)
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.digests(read(spark, folder, "documents"))
+
+
+@query(
+    rf"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    ), b AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+    ), q AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+            lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM b WHERE len(w) > 0
+    ), sizes AS (SELECT DISTINCT size FROM q),
+    p AS (
+        SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos, w FROM d, sizes WHERE len(w) >= size
+    ), o AS (
+        SELECT p.doc_id, p.pos, p.size, q.item_id FROM (SELECT doc_id, size, pos, array_to_string(w[pos:pos + size - 1], ' ') AS g FROM p) p JOIN q USING (size, g)
+    ), hit AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM (SELECT doc_id, pos, unnest(range(0, size)) AS k FROM o) GROUP BY doc_id),
+    it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (
+        SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o WHERE item_id IS NOT NULL) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items,
+        sha256(coalesce(it.ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+    """
+)
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.digests(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query(
+    """
+    WITH t AS (
+        SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+            PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL
+    ), n AS (SELECT c, max(p) AS n FROM t GROUP BY c),
+    steps AS (SELECT c, [4294967295] || flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1])) AS s FROM n),
+    crc AS (
+        SELECT c, xor(list_reduce(s, lambda acc, x: xor(xor(acc, greatest(x, 0)) >> 1, (xor(acc, greatest(x, 0)) & 1) * 3988292384)), 4294967295) % 9 AS h FROM steps
+    ), plan AS (
+        SELECT n.c, n.n, n.c - n.c % 5 AS s, h, least(h, coalesce(m.n, 0)) AS k FROM n JOIN crc USING (c) LEFT JOIN n m ON m.c = n.c - n.c % 5
+    ), r AS (
+        SELECT plan.c, t.p AS d, role, text FROM plan JOIN t ON t.c = plan.s AND t.p <= plan.k
+        UNION ALL SELECT c, k + p - h, role, text FROM plan JOIN t USING (c) WHERE p > h
+        UNION ALL SELECT c, 0, '', '' FROM plan
+    ), paths AS (
+        SELECT c, d, strlen(text) AS bytes, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (
+            PARTITION BY c ORDER BY d)) AS key, max(d) OVER (PARTITION BY c) AS l FROM r
+    ), before AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS up FROM paths),
+    nodes AS (
+        SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, max(up) AS up,
+            sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = l), '')) AS ends_sha256 FROM before GROUP BY key, d
+    ), kids AS (SELECT up AS key, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+    full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (key, d)),
+    owned AS (
+        SELECT b.c, b.d, b.key, sum(CASE WHEN f.conv_id = b.c THEN (f.n_convs - 1) * f.bytes ELSE 0 END) OVER w AS saved,
+            sum(CASE WHEN f.conv_id = b.c AND f.n_children = 0 THEN 1 ELSE 0 END) OVER w AS leaves
+        FROM before b JOIN full_nodes f USING (key, d)
+        WINDOW w AS (PARTITION BY b.c ORDER BY b.d DESC)
+    ), totals AS (SELECT key, d, sum(saved)::BIGINT AS saved_tokens, sum(leaves)::BIGINT AS n_leaves FROM owned GROUP BY key, d)
+    SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+    FROM full_nodes f JOIN totals USING (key, d) LEFT JOIN full_nodes p ON p.key = f.up AND p.d = f.d - 1
+    """
+)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.shared_heads(read(spark, folder, "conversations"))

@@ -227,9 +227,11 @@ def test_similarity_join_of_nothing(documents):
 # ---- op2
 
 
-def line_sets(texts):
-    import re
+def plain_shingles(line):
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
 
+
+def line_sets(texts):
     first, places = {}, []
     for i, text in sorted(texts):
         for k, line in enumerate((text or "").split("\n")):
@@ -237,8 +239,7 @@ def line_sets(texts):
             if line:
                 places.append((i, k, line))
                 first.setdefault(line, (i, k))
-    shape = re.compile(r"(?<![^\s⺀-\U0010ffff])(?=(\S.{0,7}))")
-    return first, places, {place: set(shape.findall(line)) for line, place in first.items()}
+    return first, places, {place: plain_shingles(line) for line, place in first.items()}
 
 
 def test_like_lines_go_but_for_the_first(documents):
@@ -269,10 +270,6 @@ def test_cleaned_documents(documents):
     assert lines.clean(documents([])).count() == 0
 
 
-def plain_shingles(line):
-    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
-
-
 def line_texts():
     """Lines that are alike at word starts only, and lines of which each has a copy with one edit."""
     chance = random.Random(21)

@@ -56,12 +56,10 @@ def _quality_sql() -> str:
             for label, share in (("lo", 1 - quality.OUTER), ("mid", quality.MIDDLE), ("hi", quality.OUTER))
         )
         cuts = []
-        for metric, (least, both) in quality.METRICS.items():
-            high = f"h + greatest({quality.WIDTH} * (h - m), {least})"
-            cuts.append(f"max(CASE WHEN metric = '{metric}' THEN {high} END) AS {metric}_max")
-            if both:
-                low = f"l - greatest({quality.WIDTH} * (m - l), {least})"
-                cuts.append(f"max(CASE WHEN metric = '{metric}' THEN {low} END) AS {metric}_min")
+        for metric in metrics:
+            cuts.append(f"max(CASE WHEN metric = '{metric}' THEN h * (h / m) * (h / m) * (h / m) * (h / m) END) AS {metric}_max")
+            if metric == "word_length":
+                cuts.append(f"max(CASE WHEN metric = '{metric}' THEN l * (l / m) * (l / m) * (l / m) * (l / m) END) AS {metric}_min")
         read = ", ".join(f"({value.replace('b =', f'{x} =').replace(', b::', f', {x}::')}) AS {y}" for x, y in (("lo", "l"), ("mid", "m"), ("hi", "h")))
         return f"""
         {name}_b AS (SELECT {by}metric, b, sum(n) AS n FROM sk GROUP BY ALL),
@@ -71,9 +69,14 @@ def _quality_sql() -> str:
 
     enough = quality.ENOUGH
     level = f"CASE WHEN coalesce(g.n_all, 0) >= {enough} THEN 0 WHEN coalesce(y.n_all, 0) >= {enough} THEN 1 ELSE 2 END"
-    names = [f"{m}_max" for m in metrics] + [f"{m}_min" for m, (_, both) in quality.METRICS.items() if both]
+    names = [f"{m}_max" for m in metrics] + ["word_length_min"]
     chosen = ", ".join(f"CASE {level} WHEN 0 THEN g.{c} WHEN 1 THEN y.{c} ELSE e.{c} END AS {c}" for c in names)
-    outside = " OR ".join([f"{m} > {m}_max" for m in metrics] + [f"{m} < {m}_min" for m, (_, both) in quality.METRICS.items() if both])
+    outside = """
+        (greatest(n_symbols - 3 * sqrt(n_symbols + 1), 0) + 1) / (word_chars + 1) > symbol_share_max
+        OR (greatest(n_dup_lines - 3 * sqrt(n_dup_lines + 1), 0) + 1) / (n_lines + 1) > dup_line_share_max
+        OR (greatest(n_repeat_words - 3 * sqrt(6 * (n_repeat_words + 6)), 0) + 1) / (n_words + 1) > repeat_share_max
+        OR (greatest(word_chars - 3 * sqrt(word_chars + 1), 0) + 1) / (n_words + 1) > word_length_max
+        OR (word_chars + 3 * sqrt(word_chars + 1) + 1) / (n_words + 1) < word_length_min"""
     return f"""
     WITH w AS (
       SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
@@ -90,8 +93,8 @@ def _quality_sql() -> str:
       FROM w LEFT JOIN rep USING (doc_id)
     ),
     m AS (
-      SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share,
-        n_repeat_words / greatest(n_words, 1) AS repeat_share, word_chars / greatest(n_words, 1) AS word_length,
+      SELECT *, (n_symbols + 1) / (word_chars + 1) AS symbol_share, (n_dup_lines + 1) / (n_lines + 1) AS dup_line_share,
+        (n_repeat_words + 1) / (n_words + 1) AS repeat_share, (word_chars + 1) / (n_words + 1) AS word_length,
         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
     ),
     each AS ({" UNION ALL ".join(f"SELECT lang, source, '{x}' AS metric, {x} AS v FROM m WHERE NOT base_failed" for x in metrics)}),

@@ -4,6 +4,10 @@ The sketch is a histogram over logarithmic buckets (relative error `ACCURACY`).
 sketches merge in any order, the hot source is combined before the shuffle, and the cutoffs never depend on
 partitioning. Groups with too few documents for a cutoff use the merged sketch of their language, then of everything.
 
+A cutoff comes from its group's quantiles alone: the outer one, times the ratio of outer to middle, `WIDTH` times over.
+A text is rejected if its share lies beyond the cutoff by `ERRORS` standard errors of its count, so a single repeated line
+or symbol rejects nothing, however uniform the group, and many do in a group that has none.
+
 * Null or empty text: no words, fails the fixed floor. Null language or source: a group of its own.
 * Repeated rows are judged alike, each counted. An empty table gives an empty result. Other columns are kept in
   `filter_documents`; the names the operator adds win.
@@ -23,17 +27,21 @@ from pyspark.sql import functions as F
 from folioscope.functions.sizing import BROADCAST_LIMIT
 from folioscope.llm.common import BLANKS, extended, stored
 
-#: What a text is measured by, with the least distance a cutoff keeps from the bulk of its group and whether small
-#: values are as suspicious as large ones.
+#: What a text is measured by: what is counted, what it is counted among, and whether small values are as suspicious as
+#: large ones. One is added to both counts, so that a text without any has the share its length lets one see.
 METRICS = {
-    "symbol_share": (0.04, False),
-    "dup_line_share": (0.50, False),
-    "repeat_share": (0.45, False),
-    "word_length": (2.0, True),
+    "symbol_share": ("n_symbols", "word_chars", False),
+    "dup_line_share": ("n_dup_lines", "n_lines", False),
+    "repeat_share": ("n_repeat_words", "n_words", False),
+    "word_length": ("word_chars", "n_words", True),
 }
-#: Cutoffs lie this many times the distance between the two quantiles beyond the outer one.
-WIDTH = 4.0
+#: What one event adds to a count, if more than one: a repeat is two windows of three words at least.
+UNITS = {"n_repeat_words": 6}
+#: A cutoff lies beyond the outer quantile by the ratio of outer to middle one, so many times over.
+WIDTH = 4
 MIDDLE, OUTER = 0.5, 0.75
+#: Standard errors of its count by which a text must lie beyond a cutoff.
+ERRORS = 3
 #: Documents a group needs for cutoffs of its own.
 ENOUGH = 100
 ACCURACY = 0.01
@@ -80,16 +88,9 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def with_metrics(counts: DataFrame) -> DataFrame:
-    one = F.lit(1)
-    return counts.withColumns(
-        {
-            "symbol_share": F.col("n_symbols") / F.greatest("word_chars", one),
-            "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", one),
-            "repeat_share": F.col("n_repeat_words") / F.greatest("n_words", one),
-            "word_length": F.col("word_chars") / F.greatest("n_words", one),
-            "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-        }
-    )
+    columns = {name: (F.col(count) + 1) / (F.col(among) + 1) for name, (count, among, _) in METRICS.items()}
+    columns["base_failed"] = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return counts.withColumns(columns)
 
 
 def bucket(value: Column) -> Column:
@@ -129,15 +130,20 @@ def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _beyond(outer: Column, middle: Column) -> Column:
+    value = outer
+    for _ in range(WIDTH):
+        value = value * (outer / middle)
+    return value
+
+
 def _cutoffs(quantiles: DataFrame, keys: list[str], level: int) -> DataFrame:
     columns = []
-    for metric, (least, both) in METRICS.items():
+    for metric, (_, _, both) in METRICS.items():
         mine = F.col("metric") == metric
-        reach = F.greatest(WIDTH * (F.col("_high") - F.col("_middle")), F.lit(least))
-        columns.append(F.max(F.when(mine, F.col("_high") + reach)).alias(f"{metric}_max"))
+        columns.append(F.max(F.when(mine, _beyond(F.col("_high"), F.col("_middle")))).alias(f"{metric}_max"))
         if both:
-            reach = F.greatest(WIDTH * (F.col("_middle") - F.col("_low")), F.lit(least))
-            columns.append(F.max(F.when(mine, F.col("_low") - reach)).alias(f"{metric}_min"))
+            columns.append(F.max(F.when(mine, _beyond(F.col("_low"), F.col("_middle")))).alias(f"{metric}_min"))
     wide = quantiles.groupBy(*keys).agg(F.max("_n").alias("_n"), *columns)
     names = [c for c in wide.columns if c.endswith(("_max", "_min"))]
     return wide.select(*keys, F.struct("_n", *names).alias(f"_cut{level}"))
@@ -162,10 +168,13 @@ def thresholds(metrics: DataFrame, enough: int = ENOUGH) -> DataFrame:
 
 def _outside() -> Column:
     tests = []
-    for metric, (_, both) in METRICS.items():
-        tests.append(F.col(metric) > F.col(f"_cut.{metric}_max"))
+    for metric, (count, among, both) in METRICS.items():
+        unit = UNITS.get(count, 1)
+        error = F.lit(float(ERRORS)) * F.sqrt((unit * (F.col(count) + unit)).cast("double"))
+        least = F.greatest(F.col(count) - error, F.lit(0.0)) + 1
+        tests.append(least / (F.col(among) + 1) > F.col(f"_cut.{metric}_max"))
         if both:
-            tests.append(F.col(metric) < F.col(f"_cut.{metric}_min"))
+            tests.append((F.col(count) + error + 1) / (F.col(among) + 1) < F.col(f"_cut.{metric}_min"))
     return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
@@ -191,7 +200,7 @@ def filter_documents(docs: DataFrame, enough: int = ENOUGH) -> DataFrame:
     """
     narrow = stored(with_counts(docs, ["lang", "source"]))
     cutoffs = thresholds(with_metrics(narrow), enough)
-    clash = {c: f"_in_{c}" for c in docs.columns if c in {*COUNTS, *METRICS, "base_failed", "kept", "cutoff_level"}}
+    clash = {c: f"_in_{c}" for c in docs.columns if c in {*COUNTS, *METRICS, "base_failed", "kept", "cutoff_level", "_text", "_cut", "_l", "_s"}}
     rows = docs.withColumnsRenamed(clash)
     metrics = with_metrics(with_counts(rows, rows.columns))
     kept = _decided(metrics, cutoffs).where("kept")

@@ -180,6 +180,35 @@ def test_a_group_of_heavy_symbols_sets_its_own_cutoff(documents, spark):
     assert kept == set(range(300))  # the last, code among prose, goes
 
 
+def test_repeated_lines_are_judged_by_their_group(documents):
+    """Two groups of long documents: lists that repeat many lines, and prose that repeats none."""
+    chance = random.Random(41)
+    line = lambda: " ".join(f"w{chance.randrange(5000)}" for _ in range(6))
+
+    def text(lines, repeats):
+        own = [line() for _ in range(lines - repeats)]
+        return "\n".join([*own, *(own[k % 3].split()[0] for k in range(repeats))])
+
+    prose = [text(chance.randrange(25, 40), 0) for _ in range(150)]
+    lists = [text(chance.randrange(40, 60), chance.randrange(12, 18)) for _ in range(150)]
+    planted = [text(50, 22), prose[0] + "\n" + prose[0].split("\n")[0], text(60, 28)]
+    docs = documents(prose + lists + planted).withColumn("lang", F.lit("en"))
+    docs = docs.withColumn("source", F.when((F.col("doc_id") >= 150) & (F.col("doc_id") < 300), "lists").otherwise("prose"))
+    rows = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert all(rows[i]["kept"] for i in range(300))
+    assert not any(r["base_failed"] for r in rows.values())
+    assert [rows[i]["kept"] for i in (300, 301, 302)] == [False, True, False]
+    cuts = quality.thresholds(quality.with_metrics(quality.with_counts(docs, ["lang", "source"]))).collect()
+    assert len({r["_cut"]["dup_line_share_max"] for r in cuts}) == 2 and {r["cutoff_level"] for r in cuts} == {0}
+
+
+def test_quality_of_columns_named_like_its_own(documents):
+    docs = documents(made_up(5, 42, 60, 90)).selectExpr("*", *[f"'mine' AS `{c}`" for c in ("_text", "_cut", "_l", "_s")])
+    rows = quality.filter_documents(docs)
+    assert rows.columns == docs.columns
+    assert {(r["_text"], r["_cut"], r["_l"], r["_s"]) for r in rows.collect()} == {("mine",) * 4}
+
+
 def test_quality_of_an_empty_table(documents):
     assert quality.judge(documents([])).count() == 0 and quality.filter_documents(documents([])).count() == 0
 

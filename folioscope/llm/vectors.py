@@ -79,14 +79,15 @@ def near_duplicates(
     per_cell: int = 1000,
     deviations: float | None = 4.0,
 ) -> DataFrame:
-    """Per row: its id, n_links, component_id (smallest id reachable) and kept.
+    """Per row: its id, n_links, component_id (smallest id reachable) and kept. A row without an id links with nothing
+    and is kept.
 
     `deviations` narrows the cells looked at to those that a difference of the threshold's length in a random
     direction reaches within so many standard deviations; None looks at every cell that could hold a link.
     """
     rows = vectors.select(F.col(id_column).alias("_id"), F.col(column).alias("_v"))
     bad = F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    good = F.coalesce((F.size("_v") > 0) & ~bad & F.exists("_v", lambda x: x != 0), F.lit(False))
+    good = F.coalesce((F.size("_v") > 0) & ~bad & F.exists("_v", lambda x: x != 0), F.lit(False)) & F.col("_id").isNotNull()
     own = [F.xxhash64("_v").alias("_h"), F.xxhash64(F.lit(11), "_v").alias("_g")]
     valid = rows.where(good)
     folded = stored(valid.groupBy(*own).agg(F.min_by("_v", "_id").alias("_v"), F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_n")))
@@ -195,7 +196,7 @@ def near_duplicates(
         F.col("_id").alias(id_column),
         F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
         group.alias("component_id"),
-        (F.col("_id") == group).alias("kept"),
+        F.col("_id").eqNullSafe(group).alias("kept"),
     )
 
 

@@ -234,6 +234,9 @@ def test_lengths_that_the_sample_misses_are_compared(spark):
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_duplicates(empty, "vec_id", "embedding").count() == 0
+    nameless = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<float>")
+    got = vectors.near_duplicates(nameless, "vec_id", "embedding").collect()
+    assert sorted(map(repr, map(tuple, got))) == ["(1, 1, 1, True)", "(2, 1, 1, False)", "(None, 0, None, True)", "(None, 0, None, True)"]
     none = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert sorted(r["component_id"] for r in vectors.near_duplicates(none, "vec_id", "embedding").collect()) == [1, 2]
 

@@ -294,6 +294,7 @@ def test_cleaned_documents(documents):
     rows = {r["doc_id"]: r for r in lines.clean(docs).collect()}
     assert rows[0]["text"] == "one line of some length\nanother line that stays"
     assert rows[1]["text"] == "\nits own last line" and rows[1]["n_chars"] == len(rows[1]["text"])
+    assert rows[0]["_gone"] == rows[0]["_spans"] == "x"
     assert 2 not in rows and rows[3]["text"] is None and rows[4]["text"] == ""
     assert lines.clean(docs).columns == docs.columns
     assert lines.clean(documents([])).count() == 0

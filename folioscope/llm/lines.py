@@ -156,8 +156,9 @@ def clean(docs: DataFrame, percent: int = 80) -> DataFrame:
     gone = stored(gone)
     lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
     left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    rows = docs.drop(*[c for c in docs.columns if c == "_gone"]).join(small(gone, 256), "doc_id", "left")
+    named = {c: f"_in{c}" for c in docs.columns if c == "_gone"}
+    rows = docs.withColumnsRenamed(named).join(small(gone, 256), "doc_id", "left")
     rows = rows.withColumn("text", left).where(F.col("_gone").isNull() | (F.trim(F.regexp_replace("text", r"\s", " ")) != ""))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*docs.columns)
+    return rows.select(*[F.col(f"`{named.get(c, c)}`").alias(c) for c in docs.columns])

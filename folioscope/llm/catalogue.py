@@ -31,7 +31,7 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query()
 def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    return ngrams.score(read(spark, folder, "documents"), held_out, order=2)
+    return ngrams.score(read(spark, folder, "documents"), held_out, order=3)
 
 
 @query()

@@ -21,7 +21,7 @@ from folioscope.catalogue.inputs import (
 from folioscope.functions.english import STOP_WORDS, stem_steps
 from folioscope.functions.sizing import measure
 from folioscope.functions.text import bags
-from folioscope.operators import dense, fulltext, fusion, lexical
+from folioscope.operators import dense, fulltext, fusion, lexical, phrases
 from folioscope.operators.rerank import rerank
 from folioscope.plans import retrieval
 from folioscope.plugins import HashingEncoder, OverlapScorer
@@ -209,6 +209,75 @@ def fts_or_topk(spark, folder):
     return fulltext.search(chunk_table(spark, folder), question_table(spark, folder), limit=10)
 
 
+def quoted_questions(spark, folder):
+    """Questions with two quoted phrases, two words and an excluded word, from the words of each benchmark item."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    rows = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).where("size(w) >= 12")
+    return rows.selectExpr(
+        "query_id", """concat('"', w[2], ' ', w[3], ' ', w[4], '" ', w[7], ', ', w[0], ' "', w[9], ' ', w[10], '" -', w[5]) AS text"""
+    )
+
+
+def stored_lexemes(spark, folder, english: bool):
+    path = f"{checkpoint_folder(spark)}/lexemes-{uuid.uuid4().hex}"
+    phrases.LexemeIndex.build(chunk_table(spark, folder), english).save(path)
+    return phrases.LexemeIndex.load(spark, path, english)
+
+
+PHRASE_CTES = f"""
+qw AS (SELECT item_id AS query_id, {WORDS} AS w FROM benchmark WHERE len({WORDS}) >= 12),
+op AS (
+  SELECT query_id, 1 AS operand, unnest([0, 1, 2]) AS off, 3 AS n, false AS neg, unnest(w[3:5]) AS term FROM qw
+  UNION ALL SELECT query_id, 2, 0, 1, false, w[8] FROM qw
+  UNION ALL SELECT query_id, 3, 0, 1, false, w[1] FROM qw
+  UNION ALL SELECT query_id, 4, unnest([0, 1]), 2, false, unnest(w[10:11]) FROM qw
+  UNION ALL SELECT query_id, 5, 0, 1, true, w[6] FROM qw
+),
+dp AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
+hit AS (SELECT query_id, doc_id, operand, off, n, neg, term, pos FROM op JOIN dp USING (term)),
+win AS (
+  SELECT query_id, doc_id, neg, pos - off AS a, pos - off + n - 1 AS b FROM hit
+  GROUP BY query_id, doc_id, operand, neg, n, pos - off HAVING count(DISTINCT off) = n
+)
+"""
+PHRASE_RANKED = """
+low AS (
+  SELECT x.query_id, x.doc_id, x.a, x.b FROM cov x WHERE NOT EXISTS (
+    SELECT 1 FROM cov y WHERE y.query_id = x.query_id AND y.doc_id = x.doc_id AND y.a >= x.a AND y.b <= x.b AND (y.a > x.a OR y.b < x.b))
+),
+scored AS (SELECT query_id, doc_id AS chunk_id, round(count(*) * 0.1, 6)::DOUBLE AS score FROM low GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
+SELECT query_id, rank, chunk_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query(
+    f"""WITH {PHRASE_CTES},
+    freed AS (SELECT query_id, doc_id, pos AS a, pos AS b FROM hit JOIN (SELECT query_id, term AS no FROM op WHERE neg) USING (query_id)
+      WHERE term <> no),
+    cov AS (SELECT query_id, doc_id, a, b FROM win WHERE NOT neg UNION SELECT * FROM freed), {PHRASE_RANKED}"""
+)
+def fts_phrase_topk(spark, folder):
+    """Phrases, words and an exclusion joined by OR, over stored lexemes."""
+    return phrases.search(stored_lexemes(spark, folder, False), quoted_questions(spark, folder), limit=10)
+
+
+@query(
+    f"""WITH {PHRASE_CTES}, no AS (SELECT DISTINCT query_id, doc_id FROM win WHERE neg),
+    cov AS (SELECT DISTINCT query_id, doc_id, a, b FROM win ANTI JOIN no USING (query_id, doc_id) WHERE NOT neg), {PHRASE_RANKED}"""
+)
+def fts_exclude_topk(spark, folder):
+    """The same questions where the exclusion excludes."""
+    return phrases.search(stored_lexemes(spark, folder, False), quoted_questions(spark, folder), limit=10, strict=True)
+
+
+@query(f"WITH {LEXEME_CTES} SELECT query_id, rank, chunk_id, score FROM fts WHERE rank <= 10")
+def fts_stored_topk(spark, folder):
+    """Stemmed questions without operators over stored lexemes."""
+    plain = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1), " ")
+    return phrases.search(stored_lexemes(spark, folder, True), question_table(spark, folder).withColumn("text", plain), limit=10)
+
+
 @query(
     f"""WITH {INDEX_CTES}, {BM25_SCORES}, {DENSE_SCORES}, {LEXEME_CTES},
     lists AS (

@@ -21,7 +21,7 @@ from folioscope.catalogue.inputs import (
 from folioscope.functions.english import STOP_WORDS, stem_steps
 from folioscope.functions.sizing import measure
 from folioscope.functions.text import bags
-from folioscope.operators import dense, fulltext, fusion, lexical, phrases
+from folioscope.operators import dense, fulltext, fusion, lexical, phrases, segments
 from folioscope.operators.rerank import rerank
 from folioscope.plans import retrieval
 from folioscope.plugins import HashingEncoder, OverlapScorer
@@ -122,6 +122,44 @@ def bm25_stored_topk(spark, folder):
     return lexical.search(chunk_table(spark, folder), question_table(spark, folder), limit=10, index=index)
 
 
+def segmented(spark, *batches) -> segments.SegmentedIndex:
+    index = segments.SegmentedIndex(spark, f"{checkpoint_folder(spark)}/segments-{uuid.uuid4().hex}")
+    for batch in batches:
+        index.add(batch)
+    return index
+
+
+@query(f"WITH {INDEX_CTES}, {BM25_SCORES} SELECT query_id, rank, chunk_id, score FROM bm25 WHERE rank <= 10")
+def bm25_pruned_topk(spark, folder):
+    """The same ranking from blocks with bounds, of which those below the k-th best are not scored."""
+    return segments.search(segmented(spark, chunk_table(spark, folder)), question_table(spark, folder), limit=10)
+
+
+@query(f"WITH {INDEX_CTES}, {BM25_SCORES} SELECT query_id, rank, chunk_id, score FROM bm25 WHERE rank <= 10")
+def bm25_after_second_batch(spark, folder):
+    """The same ranking after the corpus came in two batches."""
+    chunks = chunk_table(spark, folder)
+    late = F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == 0
+    return segments.search(segmented(spark, chunks.where(~late), chunks.where(late)), question_table(spark, folder), limit=10)
+
+
+LEFT = "left_over AS (SELECT * FROM documents WHERE lang IS DISTINCT FROM 'fr')"
+
+
+@query(
+    f"""WITH {LEFT}, {over(INDEX_CTES, "left_over", "benchmark")}, {BM25_SCORES}
+    SELECT query_id, rank, chunk_id, score FROM bm25 WHERE rank <= 10"""
+)
+def bm25_after_removal(spark, folder):
+    """Ranking after one language has been taken out and the segments merged."""
+    chunks = chunk_table(spark, folder)
+    late = F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == 0
+    index = segmented(spark, chunks.where(~late), chunks.where(late))
+    index.remove(table(spark, folder, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("chunk_id")))
+    index.merge(below=1 << 20)
+    return segments.search(index, question_table(spark, folder), limit=10)
+
+
 @query(f"WITH {INDEX_CTES}, {DENSE_SCORES} SELECT query_id, rank, chunk_id, score FROM dense WHERE rank <= 10")
 def dense_stored_topk(spark, folder):
     """Ranking from stored vectors; only the questions are encoded."""

@@ -197,6 +197,32 @@ def latex_paragraphs(spark, folder):
     return paragraphs(read, "doc_id").withColumn("text_md5", F.md5("text")).drop("text")
 
 
+MACRO_WORDS = "regexp_extract_all(text, '[A-Za-z]+')"
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, {MACRO_WORDS} AS w FROM documents)
+    SELECT doc_id, 'On ' || w[1] || ' ' || w[2] || '_3 codes' AS section,
+      md5('We study ' || w[3] || ' over ' || w[4] || ' and ' || w[5] || ' over the field. Here ' || w[6] || '_1/' || w[7] || ' and α'
+        || w[8] || ' <cit.>. ' || w[9] || ' ' || w[10] || repeat(' end of the table', 12)) AS text_md5
+    FROM w WHERE len(w) >= 10"""
+)
+def latex_macros(spark, folder):
+    """The first words of each document in nested groups, macros with arguments, fractions and a table, read back."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1).alias("w")
+    rows = table(spark, folder, "documents", "doc_id").select("doc_id", words).where("size(w) >= 10")
+    w = [F.get("w", F.lit(i)) for i in range(10)]
+    pieces = [
+        "\\documentclass{article}\n\\newcommand{\\code}[2][the field]{#2 over #1}\n\\def\\both#1#2{#1 and \\code{#2}}\n",
+        "\\begin{document}\n\\section{On \\textbf{", w[0], " $\\mathbb{", w[1], "}_{3}$} codes}\nWe study \\both{\\code[{\\it ", w[3], "}]{",
+        w[2], "}}{\\emph{\\textbf{", w[4], "}}}. % {a comment\nHere $\\frac{", w[5], "_{1}}{", w[6], "}$ and {\\large $\\alpha", "{", w[7],
+        "}$} \\cite{key}. \\begin{tabular}{ll}", w[8], " & ", w[9], "\\end{tabular}", " end of the table" * 12, "\n\\end{document}\n",
+    ]
+    latex = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+    read = rows.select("doc_id", latex_text(latex).alias("text"))
+    return paragraphs(read, "doc_id").select("doc_id", "section", F.md5("text").alias("text_md5"))
+
+
 @query(
     f"""WITH {LINES}, numbered AS (SELECT doc_id, paragraph, text, max(paragraph) OVER (PARTITION BY doc_id) AS last FROM paras),
     cut AS (SELECT doc_id, min(paragraph) AS stop FROM numbered WHERE paragraph * 2 > last GROUP BY doc_id)

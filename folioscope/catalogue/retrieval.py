@@ -21,7 +21,7 @@ from folioscope.catalogue.inputs import (
 from folioscope.functions.english import STOP_WORDS, stem_steps
 from folioscope.functions.sizing import measure
 from folioscope.functions.text import bags
-from folioscope.operators import dense, fulltext, fusion, lexical, phrases, segments
+from folioscope.operators import cells, dense, fulltext, fusion, lexical, phrases, segments
 from folioscope.operators.rerank import rerank
 from folioscope.plans import retrieval
 from folioscope.plugins import HashingEncoder, OverlapScorer
@@ -342,8 +342,7 @@ def rrf_three_lists(spark, folder):
     )
 
 
-@query(
-    """WITH pairs AS (
+NEAREST = """WITH pairs AS (
       SELECT q.vec_id AS query_id, d.vec_id AS chunk_id,
              round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) + 0.0 AS score
       FROM embeddings q CROSS JOIN embeddings d
@@ -351,12 +350,22 @@ def rrf_three_lists(spark, folder):
       SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score
       FROM pairs
     ) SELECT query_id, rank, chunk_id, score FROM ranked WHERE rank <= 10"""
-)
+
+
+@query(NEAREST)
 def dense_topk(spark, folder):
     vectors = vector_table(spark, folder)
     return dense.search(vectors, vectors.withColumnRenamed("chunk_id", "query_id"), limit=10)
 
 
+@query(NEAREST)
+def dense_cells_topk(spark, folder):
+    """The same ranking from stored cells of 8-bit residuals, all of them looked at."""
+    vectors = vector_table(spark, folder)
+    index = cells.CellIndex.save(vectors, f"{checkpoint_folder(spark)}/cells-{uuid.uuid4().hex}")
+    return cells.search(index, vectors.withColumnRenamed("chunk_id", "query_id"), limit=10, probes=len(index.centroids))
+
+
 @query(f"WITH {INDEX_CTES}, {DENSE_SCORES} SELECT query_id, rank, chunk_id, score FROM dense WHERE rank <= 10")
 def dense_topk_hashed(spark, folder):
     return retrieval.dense_ranking(corpus(spark, folder), question_table(spark, folder), 10)

@@ -31,7 +31,7 @@ def test_all_cells_give_the_exact_ranking(spark, vectors, tmp_path, monkeypatch)
     assert max(again.parts) > 1 and ranking(cells.search(again, queries, 7, probes=9)) == want
 
 
-def test_a_quarter_of_the_cells_finds_nearly_all(spark, vectors, tmp_path):
+def test_a_quarter_of_the_cells_finds_nearly_all_in_clusters(spark, vectors, tmp_path):
     index = cells.CellIndex.save(vectors, str(tmp_path / "index"))
     queries = vectors.withColumnRenamed("chunk_id", "query_id").where("embedding IS NOT NULL")
     found = {r[:1] + r[2:3] for r in ranking(cells.search(index, queries, 10))}

@@ -365,6 +365,46 @@ def test_repeated_passages_are_found_and_clean_documents_are_not(documents):
     assert spans[9][0] <= begin and spans[9][1] >= begin + 70
 
 
+def common_words(x, y):
+    row = [0] * (len(y) + 1)
+    for word in x:
+        corner = 0
+        for j, own in enumerate(y, 1):
+            corner, row[j] = row[j], corner + 1 if own == word else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("length,similarity", [(60, 0.80), (55, 0.83), (70, 0.85), (100, 0.81), (55, 0.91)])
+def test_fuzzy_passages_are_found(documents, length, similarity):
+    """Random substitutions near the threshold: found, and every row found is as alike as plain alignment says."""
+    chance, pairs = random.Random(length), 40
+    filler = made_up(2 * pairs, 34, 60, 120, 10**6)
+    texts = list(filler)
+    for k in range(pairs):
+        held = [f"p{chance.randrange(10**6)}" for _ in range(length)]
+        copy = list(held)
+        for at in chance.sample(range(1, length - 1), round(length * (1 - similarity))):
+            copy[at] = f"e{chance.randrange(10**6)}"
+        for i, run in ((k, held), (pairs + k, copy)):
+            own = filler[i].split()
+            texts[i] = " ".join([*own[:30], *run, *own[30:]])
+    rows = passages.repeated(documents(texts)).collect()
+    assert all(r["doc_id"] == r["ref_doc_id"] + pairs for r in rows)
+    assert len({r["doc_id"] for r in rows}) >= 0.9 * pairs
+    for r in rows:
+        own = texts[r["doc_id"]].split()[r["start_word"] : r["end_word"]]
+        other = texts[r["ref_doc_id"]].split()[r["ref_start_word"] : r["ref_end_word"]]
+        assert min(len(own), len(other)) >= 50 and common_words(own, other) >= 0.8 * max(len(own), len(other))
+
+
+def test_long_windows_are_equal_for_equal_runs_alone():
+    values = np.random.default_rng(4).integers(0, 3, 400).astype(np.uint64)
+    for width in (1, 2, 7, 50, 400, 401):
+        runs = [values[i : i + width].tobytes() for i in range(len(values) - width + 1)]
+        hashes = passages.long_windows(values, width).tolist()
+        assert len(hashes) == len(runs) and len(set(hashes)) == len(set(runs)) == len(set(zip(hashes, runs, strict=True)))
+
+
 def test_exact_passages_are_found_behind_partial_quotes(documents):
     filler, held = made_up(120, 32, 60, 90, 5000), made_up(30, 33, 52, 52, 50_000)
     texts = [*filler[:30]]

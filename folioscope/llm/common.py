@@ -48,6 +48,12 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(df: DataFrame) -> None:
+    """Lets the shuffle files go that made a table which is stored by now: executors delete them once the driver's JVM
+    has collected the plans that named them, which it does late when its memory is large."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def extended(df: DataFrame, fields: str) -> T.StructType:
     """The schema of a table with more fields after its own, given as in a table definition."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])

@@ -17,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 from folioscope.constants import DOWNLOAD_ATTEMPTS, REQUEST_DELAY_SECONDS
 from folioscope.session import materialise
+from folioscope.sources.kept import Kept
 
 MEMBERS = "array<struct<name:string,text:string>>"
 
@@ -45,6 +46,7 @@ def download(
     attempts: int = DOWNLOAD_ATTEMPTS,
     delay: float = REQUEST_DELAY_SECONDS,
     sleep: Callable[[float], None] = time.sleep,
+    arrivals: str | None = None,
 ) -> DataFrame:
     """Fetches one archive per paper as `paper_id, content`.
 
@@ -53,12 +55,19 @@ def download(
     seconds, which is why the requests share a single task: only the list of
     requests is brought together for it, and contents are written down as they
     come, so what follows runs in parallel and a lost task later on asks for
-    nothing twice.
+    nothing twice. With a shared folder for `arrivals`, every archive is kept there
+    on arrival, and when this task itself is lost, the next attempt asks only for
+    what had not come.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = Kept(arrivals) if arrivals else None
         for batch in batches:
             for paper_id in batch["paper_id"]:
+                content = kept.get(paper_id) if kept else None
+                if content is not None:
+                    yield pd.DataFrame({"paper_id": [paper_id], "content": [content]})
+                    continue
                 for attempt in range(attempts):
                     try:
                         content = fetch(paper_id)
@@ -66,6 +75,8 @@ def download(
                         if attempt + 1 < attempts:
                             sleep(min(20.0, max(2.0, 2.0 * 2**attempt)))
                         continue
+                    if kept:
+                        kept.put(paper_id, bytes(content))
                     yield pd.DataFrame({"paper_id": [paper_id], "content": [content]})
                     sleep(delay)
                     break
@@ -90,9 +101,13 @@ def cached(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fetched(papers: DataFrame, folder: str, fetch: Callable[[str], bytes], **options) -> DataFrame:
-    """Archives of the papers: kept ones from the cache, missing ones downloaded and then kept."""
+    """Archives of the papers: kept ones from the cache, missing ones downloaded and then kept.
+
+    Archives are kept one by one while they arrive (a folder whose name starts with an underscore is not read as part
+    of the cache), so neither a lost task nor a lost driver makes the host send one again.
+    """
     have = cached(papers.sparkSession, folder)
-    keep(download(missing(papers, have), fetch, **options), folder)
+    keep(download(missing(papers, have), fetch, arrivals=f"{folder}/_arrivals", **options), folder)
     return cached(papers.sparkSession, folder).join(papers.select("paper_id").distinct(), "paper_id", "left_semi")
 
 

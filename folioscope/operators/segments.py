@@ -12,7 +12,6 @@ score as the threshold, and scores those of the other groups whose bound reaches
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -24,15 +23,12 @@ from folioscope.functions.sizing import Extent, measure, rounded, spread_join, t
 from folioscope.functions.text import bags, question_terms
 from folioscope.operators.lexical import BUCKETS, SCORE_DIGITS, _bucket, saturation, smoothed_idf, top_chunks
 from folioscope.session import materialise
+from folioscope.sources.commits import Commits
 
 #: Chunks a group is meant to hold, groups scored to find the threshold, and what a bound may lack by rounding.
 GROUP, FIRST, SLACK = 256, 4, 1e-6
 
 
-class Conflict(RuntimeError):
-    """Another writer has committed since this one read."""
-
-
 @dataclass(frozen=True)
 class Segment:
     name: str
@@ -60,35 +56,21 @@ class SegmentedIndex:
 
     # --- commits ---
 
-    def _system(self, path: str):
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    @property
+    def commits(self) -> Commits:
+        return Commits(self.spark, f"{self.folder}/commits")
 
     def state(self) -> State:
-        """The last commit that has been written whole."""
-        place, system = self._system(f"{self.folder}/commits")
-        names = sorted((f.getPath().getName() for f in system.listStatus(place)), reverse=True) if system.exists(place) else []
-        for name in names:
-            text = self.spark.read.text(f"{self.folder}/commits/{name}", wholetext=True).first()
-            try:
-                content = json.loads(text[0]) if text else None
-            except ValueError:
-                content = None
+        """The last commit that can be read."""
+        for number in reversed(self.commits.numbers()):
+            content = self.commits.read(number)
             if content:
-                return State(int(name), [Segment(**s) for s in content["segments"]], [Segment(**s) for s in content["removed"]])
+                return State(number, [Segment(**s) for s in content["segments"]], [Segment(**s) for s in content["removed"]])
         return State()
 
     def _commit(self, before: State, segments: list[Segment], removed: list[Segment]) -> None:
-        place, system = self._system(f"{self.folder}/commits/{before.number + 1:012d}")
-        try:
-            out = system.create(place, False)
-        except Exception as error:  # py4j wraps what the file system says
-            if "exist" in str(error).lower():
-                raise Conflict(f"commit {before.number + 1} has been made by another writer") from None
-            raise
         content = {"segments": [s.__dict__ for s in segments], "removed": [s.__dict__ for s in removed]}
-        out.write(bytearray(json.dumps(content).encode()))
-        out.close()
+        self.commits.create(before.number + 1, content)
 
     # --- writing ---
 

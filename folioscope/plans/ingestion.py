@@ -29,7 +29,7 @@ def ingest(store: Store, papers: DataFrame, archives: DataFrame, batch: int, enc
     several have arrived, and contents are read for those only. Returns one row of
     counts: papers stored and skipped, chunks written.
     """
-    encoder = encoder or HashingEncoder()
+    encoder, since = encoder or HashingEncoder(), store.version()
     fresh = materialise(unseen(papers, store.stored_ids(but=batch)))
     sized = archives.select("paper_id", F.octet_length("content").alias("_size"), F.xxhash64("content").alias("_hash"))
     best = sized.groupBy("paper_id").agg(F.max(F.struct("_size", "_hash")).alias("_best"))
@@ -42,7 +42,7 @@ def ingest(store: Store, papers: DataFrame, archives: DataFrame, batch: int, enc
         .select("paper_id", flatten(member_array(F.col("content"))).alias("latex"))
         .where("latex <> ''")
     )
-    store.write(fresh, encoder.passages(chunk_sources(sources)), batch)
+    store.write(fresh, encoder.passages(chunk_sources(sources)), batch, since)
     stored = store.papers().where(F.col("batch") == batch)
     chunks = store.chunks().where(F.col("batch") == batch)
     offered = fresh.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()

@@ -7,6 +7,7 @@ import pytest
 
 from folioscope.functions.sizing import Extent
 from folioscope.operators import lexical, segments
+from folioscope.sources.commits import Conflict
 
 
 @pytest.fixture(scope="module")
@@ -63,7 +64,7 @@ def test_two_writers_do_not_undo_each_other(spark, corpus, tmp_path, monkeypatch
     before = index.state()
     index.add(corpus.where("chunk_id < 5"))
     monkeypatch.setattr(index, "state", lambda: before)
-    with pytest.raises(segments.Conflict):
+    with pytest.raises(Conflict):
         index.add(corpus.where("chunk_id BETWEEN 5 AND 9"))
     monkeypatch.undo()
     assert [s.chunks for s in index.state().segments] == [5]

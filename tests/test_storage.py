@@ -9,6 +9,7 @@ from folioscope.operators.chunks import duplicate_locations, orphans
 from folioscope.plans.ingestion import ingest
 from folioscope.plugins import HashingEncoder
 from folioscope.schemas import PAPERS
+from folioscope.sources.commits import Conflict
 from folioscope.sources.store import Store
 from folioscope.streaming import ingest as streaming_ingest
 
@@ -121,3 +122,85 @@ def test_batches_keep_their_number(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     take(store, arrivals(spark, ("1v1", LONG)), 4)
     assert [r["batch"] for r in store.papers().collect()] == [4]
+
+
+class Marking(HashingEncoder):
+    """One vector component; writes down what it encodes."""
+
+    def __init__(self, mark, log=None):
+        self.mark, self.log = mark, log
+
+    def passages(self, df, text="text"):
+        if self.log is not None:
+            self.log.extend(sorted(r["chunk_id"] for r in df.select("chunk_id").collect()))
+        return df.selectExpr("*", f"array(cast({self.mark} as float)) as embedding")
+
+
+def test_overlapping_writers_of_a_batch(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    take(store, arrivals(spark, ("1v1", LONG), ("2v1", LONG)), 0)
+    take(store, arrivals(spark, ("3v1", LONG)), 1)
+    class Overtaken(Store):
+        """Another writer commits between what this one reads and its own commit."""
+
+        def _write_all(self, papers, chunks, batches, folder, since):
+            done = super()._write_all
+            other(Store(self.spark, self.folder))
+            return done(papers, chunks, batches, folder, since)
+
+    def other(plain):
+        take(plain, arrivals(spark, ("1v1", LONG), ("2v1", LONG), ("4v1", LONG)), 0)
+
+    with pytest.raises(Conflict, match="batches \\[0\\]"):
+        Overtaken(spark, store.folder).remove(store.papers().where("paper_id = '1v1'"))
+    ids = lambda: sorted(r["paper_id"] for r in store.papers().collect())
+    assert ids() == ["1v1", "2v1", "3v1", "4v1"] == sorted(r["paper_id"] for r in store.chunks().collect())
+
+    def other(plain):  # noqa: F811
+        take(plain, arrivals(spark, ("5v1", LONG)), 2)
+
+    Overtaken(spark, store.folder).remove(store.papers().where("paper_id = '1v1'"))
+    assert ids() == ["2v1", "3v1", "4v1", "5v1"]
+
+
+def test_a_writer_with_an_old_view_fails(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    take(store, arrivals(spark, ("1v1", LONG)), 0)
+    seen, papers, chunks = store.version(), store.papers(), store.chunks()
+    take(store, arrivals(spark, ("1v1", LONG)), 0)
+    with pytest.raises(Conflict):
+        store.write(papers, chunks, 0, since=seen)
+    store.write(papers, chunks, 3, since=seen)
+    assert store.version() == 3 and store.papers().count() == 2
+
+
+def test_vectors_are_replaced_slice_by_slice(spark, tmp_path):
+    store, log = Store(spark, str(tmp_path / "s")), []
+    take(store, arrivals(spark, *[(f"{i}v1", LONG) for i in range(12)]), 0)
+    take(store, arrivals(spark, ("20v1", LONG)), 1)
+    base = {p: p.stat().st_mtime_ns for p in (tmp_path / "s" / "chunks").rglob("*.parquet")}
+    marks = lambda: sorted(r["embedding"][0] for r in store.chunks().collect() if len(r["embedding"]) == 1)
+    assert store.reembed(Marking(2, log), "two", slices=4, most=2) == 2
+    done = len(log)
+    assert 0 < done < 13 and marks() == [2.0] * done and store.chunks().count() == 13
+    store.reembed(Marking(2, log), "two", slices=5)
+    assert len(log) == len(set(log)) == 13 and marks() == [2.0] * 13
+    assert store.reembed(Marking(2, log), "two") == 0
+    # A slice that was written but not committed is not seen.
+    part = next((tmp_path / "s" / "patches" / "space=two").glob("slice=*"))
+    spark.read.parquet(str(part)).selectExpr("chunk_id", "attempt", "array(cast(9 as float)) as embedding").write.parquet(f"{part}lost")
+    assert marks() == [2.0] * 13
+    # A batch that is written again, or added, is encoded anew; the others are not.
+    take(store, arrivals(spark, ("20v1", LONG), ("21v1", LONG)), 1)
+    assert marks() == [2.0] * 12
+    store.reembed(Marking(2, log), "two")
+    assert len(log) == 15 and marks() == [2.0] * 14
+    store.remove(store.papers().where("paper_id = '0v1'"))
+    assert marks() == [2.0] * 13
+    store.reembed(Marking(3), "three", slices=2)
+    assert marks() == [3.0] * 13
+    assert all(p.stat().st_mtime_ns == t for p, t in base.items())
+
+
+def test_an_empty_store_has_no_vectors_to_replace(spark, tmp_path):
+    assert Store(spark, str(tmp_path / "s")).reembed(Marking(1), "one") == 0

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import tarfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscope.catalogue import query
@@ -13,7 +17,7 @@ from folioscope.operators.paragraphs import paragraphs
 from folioscope.plugins import HashingEncoder
 from folioscope.schemas import CHUNKS
 from folioscope.session import checkpoint_folder, table
-from folioscope.sources import feed, judged
+from folioscope.sources import archives, feed, judged
 from folioscope.sources.markup import html_text, page_title
 from folioscope.sources.store import Store, unseen
 
@@ -174,3 +178,77 @@ def cascade_delete(spark, folder):
     orphans = chunking.orphans(left.chunks(), left.papers(), "paper_id").agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     papers = left.papers().agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     return left.chunks().agg(F.count(F.lit(1)).alias("chunks")).select(papers.alias("papers"), "chunks", orphans.alias("orphans"))
+
+
+@query(
+    f"""WITH RECURSIVE {STORED} SELECT 'page' || page_id AS paper_id, paragraph, chunk_index, md5(text) AS text_md5,
+    CASE WHEN page_id % 2 = 1 THEN 0 ELSE 1 END::BIGINT AS batch FROM loc WHERE page_id % 5 <> 0"""
+)
+def store_restored(spark, folder):
+    """A store exported to another folder, some papers removed there, exported again and opened."""
+    store = stored_pages(spark, folder)
+    exported = store.copy_to(f"{store.folder}-exported")
+    exported.remove(exported.papers().where(F.pmod(F.substring("paper_id", 5, 20).cast("long"), F.lit(5)) == 0))
+    restored = exported.copy_to(f"{store.folder}-restored")
+    return restored.chunks().select("paper_id", "paragraph", "chunk_index", F.md5("text").alias("text_md5"), "batch")
+
+
+class TextMeasures(HashingEncoder):
+    """Vectors that SQL can recompute: characters and blanks of a text."""
+
+    def passages(self, df, text="text"):
+        blanks = F.length(text) - F.length(F.replace(F.col(text), F.lit(" "), F.lit("")))
+        return df.withColumn("embedding", F.array(F.length(text).cast("float"), blanks.cast("float")))
+
+
+@query(
+    f"""WITH RECURSIVE {STORED} SELECT 'page' || page_id AS paper_id, paragraph, chunk_index,
+    length(text)::BIGINT AS characters, (length(text) - length(replace(text, ' ', '')))::BIGINT AS blanks FROM loc"""
+)
+def reembed_resumed(spark, folder):
+    """Vectors of a store replaced in slices by two runs: the second goes on where the first one ended."""
+    store = stored_pages(spark, folder)
+    store.reembed(TextMeasures(), "measures", slices=8, most=3)
+    store.reembed(TextMeasures(), "measures", slices=8)
+    component = lambda at: F.col("embedding")[at].cast("long")
+    return store.chunks().select(
+        "paper_id", "paragraph", "chunk_index", component(0).alias("characters"), component(1).alias("blanks")
+    )
+
+
+def _archive(files):
+    """An archive of each row's `main` and `part` texts; a lone compressed file where there is no part."""
+
+    def pack(batches):
+        for batch in batches:
+            packed = []
+            for main, part in zip(batch["main"], batch["part"], strict=True):
+                if part is None:
+                    packed.append(gzip.compress(main.encode(), 1))
+                    continue
+                buffer = io.BytesIO()
+                with tarfile.open(fileobj=buffer, mode="w:gz", compresslevel=1) as tar:
+                    for name, text in (("main.tex", main), ("notes.txt", "none"), ("parts/part.tex", part)):
+                        entry = tarfile.TarInfo(name)
+                        entry.size = len(text.encode())
+                        tar.addfile(entry, io.BytesIO(text.encode()))
+                packed.append(buffer.getvalue())
+            yield pd.DataFrame({"paper_id": batch["paper_id"], "content": packed})
+
+    return files.mapInPandas(pack, "paper_id string, content binary")
+
+
+@query(
+    """SELECT 'd' || doc_id AS paper_id, unnest(CASE WHEN doc_id % 3 = 0 THEN ['main'] ELSE ['main', 'parts/part'] END) AS name,
+      unnest(CASE WHEN doc_id % 3 = 0 THEN [md5(text)] ELSE [md5(text), md5(source || ' of ' || lang)] END) AS text_md5
+    FROM documents"""
+)
+def archive_members(spark, folder):
+    """Documents packed as source archives, kept, and their files read back."""
+    rows = table(spark, folder, "documents", "doc_id")
+    part = F.when(F.col("doc_id") % 3 != 0, F.concat("source", F.lit(" of "), "lang"))
+    files = rows.select(F.concat(F.lit("d"), "doc_id").alias("paper_id"), F.col("text").alias("main"), part.alias("part"))
+    place = f"{checkpoint_folder(spark)}/archives-{uuid.uuid4().hex}"
+    archives.keep(_archive(files), place)
+    members = archives.cached(spark, place).select("paper_id", F.explode(archives.member_array(F.col("content"))).alias("_m"))
+    return members.select("paper_id", "_m.name", F.md5("_m.text").alias("text_md5"))

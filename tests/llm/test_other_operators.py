@@ -270,6 +270,41 @@ def test_trees_learn_lexical_signs(spark):
     rows = urls.judge(frame, [], labelled=F.col("known")).where("page_id >= 500").collect()
     right = sum((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in rows)
     assert len(rows) == 300 and right >= 290
+    seen = urls.held_out(frame, [], labelled=F.col("known")).first()
+    assert seen["labelled"] == 500 and 80 < seen["held_out"] < 170 and seen["auc"] > 0.98 and seen["precision"] >= 0.9
+
+
+def test_labels_without_signs_block_nothing(spark):
+    """Labels drawn at random say nothing about other urls, so only the rules block; copies of one url do not either."""
+    chance = random.Random(5)
+    given = [f"https://h{chance.randrange(10**6)}.site{chance.randrange(10**6)}.net/p/{chance.randrange(10**6)}" for _ in range(900)]
+    given = [*given, *[given[0]] * 400]
+    rules = [urls.Rule("block", "net", "/q/"), urls.Rule("allow", "net", "/ok/")]
+    frame = pages(spark, [*given, "http://a.net/q/1", "http://a.net/ok/1"])
+    mark = F.pmod(F.xxhash64("url", F.lit(77)), F.lit(2)).cast("double")
+    frame = frame.withColumn("known", F.when(F.pmod(F.xxhash64("url", F.lit(78)), F.lit(3)) > 0, mark))
+    seen = urls.held_out(frame, rules, labelled=F.col("known")).first()
+    assert seen["labelled"] < 900 and 0.3 < seen["auc"] < 0.7 and seen["cutoff"] is None
+    got = urls.judge(frame, rules, labelled=F.col("known")).collect()
+    assert [r["url"] for r in got if r["verdict"] == "block"] == ["http://a.net/q/1"] and len(got) == 1302
+
+
+def test_a_label_is_not_described_by_itself(spark):
+    """Every labelled url has a suffix of its own, so its suffix says nothing once its own label is left out."""
+    given = [f"http://s{i}.net/a" for i in range(40)]
+    rows = pages(spark, given).withColumn("known", (F.col("page_id") % 2).cast("double"))
+    _, narrow, by_suffix = urls._prepared(rows, [], F.col("known"))
+    own = urls._described(narrow, by_suffix, labelled=True).select("f_suffix_blocked").distinct().collect()
+    assert [r[0] for r in own] == [0.5]
+    every = {r[0] for r in urls._described(narrow, by_suffix, labelled=False).select("f_suffix_blocked").collect()}
+    assert every == {1 / 3, 2 / 3}
+
+
+def test_columns_named_like_the_operators_own_stay(spark):
+    frame = spark.createDataFrame([(f"http://{'a' if i % 2 else 'b'}{i}.net/{i}", f"own {i}", i, i % 2) for i in range(60)], "url string, _bad string, f_labels int, _label int")
+    got = urls.judge(frame, [urls.Rule("block", "a1.net", "/")], labelled=F.col("_label")).collect()
+    assert [list(r.asDict()) for r in got[:1]] == [["url", "_bad", "f_labels", "_label", *urls.ADDED]]
+    assert sorted((r["_bad"], r["f_labels"], r["_label"]) for r in got) == sorted((f"own {i}", i, i % 2) for i in range(60))
 
 
 def test_urls_without_labels_and_no_urls(spark):

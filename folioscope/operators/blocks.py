@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.constants import BM25_B, BM25_K1
-from folioscope.operators.dense import Best, _round, id_array, id_types
+from folioscope.operators.dense import Best, id_array, id_types
 
 COUNTED = "chunk_id {}, length long, ids array<int>, counts array<int>"
 BLOCK_ROWS = 1024  # chunks per block, fewer when the vocabulary is wide
@@ -127,7 +127,7 @@ def best(rows: DataFrame, lookup: Lookup, weights: np.ndarray, k: int, mean_leng
                     used, row = np.unique(term[low:high], return_inverse=True)
                     matrix = np.zeros((at.stop - at.start, len(used)))
                     matrix[question[low:high] - at.start, row] = weight[low:high]
-                    kept.add(_round(matrix @ block[:, used].T), ids, at)
+                    kept.add(matrix @ block[:, used].T, ids, at)
         yield kept.rows()
 
     return rows.mapInArrow(score, schema)

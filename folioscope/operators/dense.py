@@ -23,9 +23,9 @@ from folioscope.functions.sizing import Extent, measure, top_ranked
 SCORE_DIGITS = 6
 QUERY_BLOCK = 4096
 CORPUS_BLOCK = 65536
-# Similarities held at once by a task: 32 MB.
-QUERY_PIECE = 2048
-CHUNK_PIECE = 2048
+# Similarities held at once by a task: 8 MB.
+QUERY_PIECE = 1024
+CHUNK_PIECE = 1024
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -75,27 +75,52 @@ class Best:
         return self
 
     def add(self, similarity: np.ndarray, ids: np.ndarray, at: slice) -> None:
-        """Takes in similarities (queries x chunks) of the queries at `at`."""
+        """Takes in similarities (queries x chunks) of the queries at `at`, unrounded. Once a query has its `k`, only
+        what reaches its k-th best is looked at."""
         if self.ids is None:
             self.ids = np.empty((len(self.query_ids), 0), dtype=ids.dtype)
+        if self.scores.shape[1] < self.k:
+            self._take(*self._chosen(_round(similarity), ids), at)
+            return
+        held = self.scores[at]
+        level = np.where(np.isnan(held), -np.inf, held).min(axis=1) - 10.0**-SCORE_DIGITS
+        reach = similarity >= level[:, None]
+        counts = reach.sum(axis=1)
+        # Queries that many chunks reach, as those of equal scores do, go the long way; they widen no others.
+        many, few = np.flatnonzero(counts > self.k), np.flatnonzero((counts > 0) & (counts <= self.k))
+        if len(many):
+            self._take(*self._chosen(_round(similarity[many]), ids), at.start + many)
+        if len(few):
+            row, column = np.nonzero(reach[few])
+            size = counts[few]
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            padded = np.full((len(few), size.max()), -np.inf)
+            candidates = np.full(padded.shape, ids[0], dtype=ids.dtype)
+            padded[row, place], candidates[row, place] = _round(similarity[few[row], column]), ids[column]
+            self._take(padded, candidates, at.start + few)
+
+    def _chosen(self, similarity: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The `k` best of rounded similarities in each row, with their chunks."""
         by_id = np.argsort(ids, kind="stable")
         ids, similarity = ids[by_id], similarity[:, by_id]
         n = len(ids)
-        if n > self.k:
-            key = np.rint(similarity * 10**SCORE_DIGITS).astype(np.int64) * n + np.arange(n - 1, -1, -1)
-            chosen = np.argpartition(key, n - self.k, axis=1)[:, n - self.k :]
-            similarity, new = np.take_along_axis(similarity, chosen, 1), ids[chosen]
-        else:
-            new = np.broadcast_to(ids, similarity.shape)
+        if n <= self.k:
+            return similarity, np.broadcast_to(ids, similarity.shape)
+        key = np.rint(similarity * 10**SCORE_DIGITS).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+        chosen = np.argpartition(key, n - self.k, axis=1)[:, n - self.k :]
+        return np.take_along_axis(similarity, chosen, 1), ids[chosen]
+
+    def _take(self, similarity: np.ndarray, candidates: np.ndarray, at: slice | np.ndarray) -> None:
+        """Sorts rounded similarities in among those that the rows at `at` hold already."""
         scores = np.concatenate([self.scores[at], similarity], axis=1)
-        candidates = np.concatenate([self.ids[at], new], axis=1)
+        candidates = np.concatenate([self.ids[at], candidates], axis=1)
         order = np.lexsort((_places(candidates), -scores), axis=1)[:, : self.k]
         scores, candidates = np.take_along_axis(scores, order, 1), np.take_along_axis(candidates, order, 1)
         missing = scores.shape[1] - self.scores.shape[1]
         if missing > 0:
             rows = len(self.query_ids)
             self.scores = np.concatenate([self.scores, np.full((rows, missing), -np.inf)], axis=1)
-            self.ids = np.concatenate([self.ids, np.full((rows, missing), ids[0], dtype=ids.dtype)], axis=1)
+            self.ids = np.concatenate([self.ids, np.full((rows, missing), candidates.flat[0], dtype=candidates.dtype)], axis=1)
         self.scores[at], self.ids[at] = scores, candidates
 
     def rows(self) -> pa.RecordBatch:
@@ -125,7 +150,7 @@ def _add(best: Best, queries: np.ndarray, chunks: np.ndarray, ids: np.ndarray) -
         at = slice(q, min(q + QUERY_PIECE, len(queries)))
         for c in range(0, len(chunks), CHUNK_PIECE):
             part = slice(c, c + CHUNK_PIECE)
-            best.add(_round(queries[at] @ chunks[part].T), ids[part], at)
+            best.add(queries[at] @ chunks[part].T, ids[part], at)
 
 
 def _by_broadcast(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:

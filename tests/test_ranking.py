@@ -221,3 +221,25 @@ def test_what_many_tasks_kept_is_cut_in_two_steps(spark):
     order = [F.col("score").desc(), F.col("chunk_id").asc()]
     once, twice = (top_ranked(rows, ["g"], order, 7, spread=s) for s in (None, "chunk_id"))
     assert sorted(once.collect()) == sorted(twice.collect())
+
+
+def test_best_looks_at_what_reaches_the_kth_best_alone(monkeypatch):
+    chance = np.random.default_rng(3)
+    similarity = np.round(chance.normal(size=(30, 900)), 2)
+    similarity[:5] = 0.0  # equal scores: the lowest identifiers
+    similarity[5, 100:] = -0.0000001
+    ids = chance.permutation(900)
+    sorted_in = []
+    take = dense.Best._take
+    monkeypatch.setattr(dense.Best, "_take", lambda self, s, c, at: sorted_in.append(int(np.isfinite(s).sum())) or take(self, s, c, at))
+    best = dense.Best(np.arange(30), 10)
+    for start in range(0, 900, 60):
+        for rows in (slice(0, 17), slice(17, 30)):
+            best.add(similarity[rows, start : start + 60], ids[start : start + 60], rows)
+    got = best.rows().to_pydict()
+    want = []
+    for q, row in enumerate(similarity):
+        order = sorted(range(900), key=lambda i: (-(round(row[i], 6) + 0.0), ids[i]))[:10]
+        want += [(q, int(ids[i]), round(row[i], 6) + 0.0) for i in order]
+    assert list(zip(got["query_id"], got["chunk_id"], got["score"], strict=True)) == want
+    assert sum(sorted_in) < 30 * 900 / 4

@@ -25,7 +25,9 @@ from pyspark.sql.window import Window
 from folioscope.constants import CANDIDATES
 from folioscope.functions.english import STOP_WORDS, stem, words
 from folioscope.functions.sizing import Extent, measure, rounded, spread_join, top_ranked
-from folioscope.operators.fulltext import POSITION_WEIGHT
+from folioscope.functions.text import let
+from folioscope.operators.fulltext import POSITION_WEIGHT, stems
+from folioscope.session import materialise
 
 #: An operand: a phrase, closed or not, or a run without blanks; either after a minus.
 OPERAND = r'((?:-\s*)?"[^"]*"?|-\s+[^\s"]+|[^\s"]+)'
@@ -36,10 +38,25 @@ def _placed(buckets: int) -> Column:
     return F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int")
 
 
-def _stems(terms: DataFrame) -> DataFrame:
-    """`term, lexeme` of every distinct word that is no stop word."""
-    tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return terms.where(~F.col("term").isin(STOP_WORDS)).distinct().repartition(tasks, "term").withColumn("lexeme", stem("term"))
+def _places(words: Column) -> Column:
+    """`array<struct<lexeme, positions>>` of a word array, put together within the row."""
+
+    def runs(ordered: Column) -> Column:
+        def cut(starts: Column) -> Column:
+            return F.transform(
+                starts,
+                lambda at, i: F.struct(
+                    F.get(ordered, at)["term"].alias("lexeme"),
+                    F.transform(F.slice(ordered, at + 1, F.coalesce(F.get(starts, i + 1), F.size(ordered)) - at), lambda w: w["position"]).alias("positions"),
+                ),
+            )
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i)["term"] != F.get(ordered, i - 1)["term"]))
+        return let(starts, cut)
+
+    nothing = F.expr("cast(array() as array<struct<lexeme:string,positions:array<int>>>)")
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("position"))))
+    return let(placed, lambda p: F.when(F.size(p) == 0, nothing).otherwise(runs(p)))
 
 
 @dataclass(frozen=True)
@@ -52,15 +69,23 @@ class LexemeIndex:
 
     @staticmethod
     def build(chunks: DataFrame, english: bool = True) -> LexemeIndex:
-        """Every word is split off once and stemmed once per distinct word."""
-        rows = chunks.select("chunk_id", F.posexplode(words(F.col("text"))).alias("position", "term"))
+        """Every word is split off once and stemmed once per distinct word. A row's postings are made within it; only
+        those of words that may share a lexeme, or of rows that share an identifier, meet others."""
+        repeated = materialise(chunks.groupBy("chunk_id").count().where("count > 1").select(F.col("chunk_id").alias("_id"), F.lit(True).alias("_twice")))
+        repeated = F.broadcast(repeated) if measure(repeated).fits() else repeated
+        held = chunks.select("chunk_id", "text").join(repeated, F.col("chunk_id").eqNullSafe(F.col("_id")), "left")
+        held = held.withColumn("_twice", F.coalesce("_twice", F.lit(False)))
+        rows = held.select("chunk_id", "_twice", F.explode(_places(words(F.col("text")))).alias("_place")).select("chunk_id", "_twice", "_place.*")
         if english:
-            stems = _stems(rows.select("term"))
-            rows = spread_join(rows, stems, ["term"], fits=measure(chunks.select("text")).fits(copies=2), spread=["chunk_id", "position"])
-        else:
-            rows = rows.withColumnRenamed("term", "lexeme")
-        grouped = rows.groupBy("chunk_id", "lexeme").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-        return LexemeIndex(grouped, english)
+            vocabulary = chunks.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+            named = stems(vocabulary)
+            kin = Window.partitionBy("lexeme")
+            named = materialise(named.select(F.col("term").alias("_term"), "lexeme", (F.count(F.lit(1)).over(kin) > 1).alias("_shared")))
+            rows = spread_join(rows.withColumnRenamed("lexeme", "_term"), named, ["_term"], fits=measure(named).fits(per_row=48), spread=["chunk_id"]).drop("_term")
+        meets = F.col("_twice") | F.col("_shared") if english else F.col("_twice")
+        alone = rows.where(~meets).select("chunk_id", "lexeme", "positions")
+        grouped = rows.where(meets).groupBy("chunk_id", "lexeme").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+        return LexemeIndex(alone.unionByName(grouped), english)
 
     def save(self, folder: str, buckets: int = BUCKETS) -> None:
         """Places postings by a hash of the lexeme; a hot lexeme's partition is spread over files by its chunks."""

@@ -7,6 +7,7 @@ the number of chunks and their mean length.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from folioscope.session import materialise
 
 SCORE_DIGITS = 6
 BUCKETS = 256
+#: Postings, or pairs of a question and a chunk, that meet in one task.
+TASK_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -45,17 +48,19 @@ class TermIndex:
         spreads a partition over several files, because a stop word's postings
         are a large part of the index.
         """
+        self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+        stored = TermIndex(self.postings, self.postings.sparkSession.read.parquet(f"{folder}/lengths"))
+        count, mean = stored.totals()
         placed = self.postings.withColumn("bucket", _bucket(buckets))
         placed = placed.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(32)))
         (
-            placed.repartition("bucket", "_salt")
+            placed.repartition(_tasks(placed, count * mean), "bucket", "_salt")
             .drop("_salt")
             .sortWithinPartitions("bucket", "term")
             .write.mode("overwrite")
             .partitionBy("bucket")
             .parquet(f"{folder}/postings")
         )
-        self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
 
     @staticmethod
     def load(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> TermIndex:
@@ -76,6 +81,11 @@ class TermIndex:
         return TermIndex(materialise(kept.select("chunk_id", "length", "term", "tf")), self.lengths)
 
 
+def _tasks(df: DataFrame, rows: float) -> int:
+    """So many tasks that none sorts or adds up more than `TASK_ROWS`, and at least as many as any other shuffle has."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS))
+
+
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
@@ -156,7 +166,7 @@ def saturation(tf: Column, length: Column, mean_length: float) -> Column:
 
 
 def score(
-    index: TermIndex, terms: DataFrame, stats: DataFrame, extent: Extent, mean_length: float | None = None
+    index: TermIndex, terms: DataFrame, stats: DataFrame, extent: Extent, mean_length: float | None = None, chunks: int | None = None
 ) -> DataFrame:
     """`query_id, chunk_id, score` for every chunk sharing a term with a question.
 
@@ -164,12 +174,14 @@ def score(
     broadcast weights. What is shuffled is then the postings, however many
     (question, chunk) pairs come of them, and each pair is summed where it arises.
     """
-    mean_length = index.totals()[1] if mean_length is None else mean_length
+    if mean_length is None or chunks is None:
+        chunks, mean_length = index.totals()
     small = extent.fits(per_row=16, copies=24)
     weights = spread_join(stats.select("term", "idf"), terms, ["term"], fits=small, spread=["term"]).select(
         "term", "query_id", (F.col("idf") * F.col("qtf")).alias("weight")
     )
-    postings = index.postings.repartition("chunk_id") if small else index.postings
+    tasks = _tasks(terms, chunks * extent.rows)
+    postings = index.postings.repartition(tasks, "chunk_id") if small else index.postings
     hits = spread_join(postings, weights, ["term"], fits=small, spread=["chunk_id"])
     part = F.col("weight") * saturation(F.col("tf"), F.col("length"), mean_length)
     return hits.groupBy("query_id", "chunk_id").agg(rounded(F.sum(part), SCORE_DIGITS).alias("score"))
@@ -213,7 +225,7 @@ def search(
         stats = library_term_stats(index or build_index(chunks), total)
     else:
         stats = term_stats(pruned, total)
-    return top_chunks(score(pruned, terms, stats, extent, mean_length), limit)
+    return top_chunks(score(pruned, terms, stats, extent, mean_length, total), limit)
 
 
 def _by_blocks(chunks: DataFrame, lookup: Lookup, limit: int, library: bool) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from folioscope.constants import CANDIDATES
 from folioscope.functions.sizing import Extent, measure, rounded, spread_join, top_ranked
 from folioscope.functions.text import bags, question_terms
-from folioscope.operators.lexical import BUCKETS, SCORE_DIGITS, _bucket, saturation, smoothed_idf, top_chunks
+from folioscope.operators.lexical import BUCKETS, SCORE_DIGITS, _bucket, _tasks, saturation, smoothed_idf, top_chunks
 from folioscope.session import materialise
 from folioscope.sources.commits import Commits
 
@@ -123,16 +123,23 @@ class SegmentedIndex:
         path = f"{self.folder}/lengths/segment={name}"
         lengths.write.parquet(path)
         count, length = self._sums(self.spark.read.parquet(path))
-        # Alike in length to a factor of 1.4, so that one bound fits the postings of a group.
-        kind = F.floor(F.log2(F.col("length") + 1) * 2).cast("int")
+        # Alike in length to a factor of 1.4, so that one bound fits the postings of a group. Rows that share an
+        # identifier share a group, so that a chunk's score is summed within one.
+        twice = lengths.groupBy(F.col("chunk_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.max("length").alias("_longest"))
+        twice = materialise(twice.where("_n > 1").drop("_n"))
+        twice = F.broadcast(twice) if measure(twice).fits() else twice
+        postings = postings.join(twice, F.col("chunk_id").eqNullSafe(F.col("_id")), "left").withColumn("_longest", F.coalesce("_longest", "length")).drop("_id")
+        kind = F.floor(F.log2(F.col("_longest") + 1) * 2).cast("int")
         deals = max(1, count // GROUP // 8)
         group = kind * deals + F.pmod(F.xxhash64("chunk_id"), F.lit(deals)).cast("int")
-        blocks = postings.withColumn("grp", group).groupBy("term", "grp").agg(
+        rows = postings.withColumn("grp", group).drop("_longest")
+        rows = rows.withColumns({"bucket": _bucket(self.buckets), "_salt": F.pmod(F.col("grp"), F.lit(32))})
+        rows = rows.repartition(_tasks(rows, length), "bucket", "_salt")
+        blocks = rows.groupBy("bucket", "_salt", "term", "grp").agg(
             F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"),
             F.collect_list(F.struct("chunk_id", "tf", "length")).alias("entries"),
         )
-        blocks = blocks.withColumns({"bucket": _bucket(self.buckets), "_salt": F.pmod(F.col("grp"), F.lit(32))})
-        placed = blocks.repartition("bucket", "_salt").drop("_salt").sortWithinPartitions("bucket", "term", "grp")
+        placed = blocks.drop("_salt").sortWithinPartitions("bucket", "term", "grp")
         placed.write.partitionBy("bucket").parquet(f"{self.folder}/blocks/segment={name}")
         return Segment(name, count, length)
 
@@ -168,6 +175,7 @@ class Plan:
     bounds: DataFrame  # query_id, segment, grp, bound, postings
     mean_length: float
     small: bool
+    tasks: int  # that score a batch
 
 
 def planned(index: SegmentedIndex, state: State, questions: DataFrame, extent: Extent) -> Plan:
@@ -190,14 +198,25 @@ def planned(index: SegmentedIndex, state: State, questions: DataFrame, extent: E
     bounds = spread_join(facts, weights, ["term"], small, ["grp"]).groupBy("query_id", "segment", "grp").agg(
         F.sum(top).alias("bound"), F.sum("n").alias("postings")
     )
-    return Plan(blocks.select("segment", "grp", "term", "entries"), weights, materialise(bounds), mean_length, small)
+    return Plan(blocks.select("segment", "grp", "term", "entries"), weights, materialise(bounds), mean_length, small, _tasks(terms, total * extent.rows))
 
 
 def _scored(plan: Plan, index: SegmentedIndex, state: State, pairs: DataFrame) -> DataFrame:
-    """`query_id, chunk_id, score` of every chunk of the given groups that shares a term with the question."""
+    """`query_id, chunk_id, score` of every chunk of the given groups that shares a term with the question.
+
+    With few questions the groups asked for are broadcast with who asks for them, and the blocks of a group are brought
+    together once: what is shuffled is the postings, and each pair of a question and a chunk is summed where it arises.
+    """
+    part: Column = F.col("weight") * saturation(F.col("tf"), F.col("length"), plan.mean_length)
+    groups = materialise(pairs.groupBy("segment", "grp").agg(F.collect_set("query_id").alias("_asking"))) if plan.small else None
+    if groups is not None and measure(groups).fits():
+        blocks = plan.blocks.join(F.broadcast(groups), ["segment", "grp"]).repartition(plan.tasks, "segment", "grp")
+        hits = blocks.join(F.broadcast(plan.weights), "term").where(F.array_contains("_asking", F.col("query_id")))
+        hits = hits.selectExpr("segment", "grp", "query_id", "weight", "inline(entries)")
+        sums = hits.groupBy("segment", "grp", "query_id", "chunk_id").agg(rounded(F.sum(part), SCORE_DIGITS).alias("score"))
+        return index._alive(sums, state).select("query_id", "chunk_id", "score")
     asked = pairs.select("query_id", "segment", "grp").join(F.broadcast(plan.weights) if plan.small else plan.weights, "query_id")
     hits = plan.blocks.join(asked, ["segment", "grp", "term"]).selectExpr("query_id", "segment", "weight", "inline(entries)")
-    part: Column = F.col("weight") * saturation(F.col("tf"), F.col("length"), plan.mean_length)
     hits = index._alive(hits, state)
     return hits.groupBy("query_id", "chunk_id").agg(rounded(F.sum(part), SCORE_DIGITS).alias("score"))
 

@@ -75,3 +75,24 @@ def test_two_writers_do_not_undo_each_other(spark, corpus, tmp_path, monkeypatch
 
 def test_an_index_without_segments(spark, questions, tmp_path):
     assert segments.search(segments.SegmentedIndex(spark, str(tmp_path)), questions).count() == 0
+
+
+def test_scores_are_summed_within_groups_whatever_identifiers_repeat(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from folioscope.functions.sizing import measure
+    from folioscope.operators import lexical, segments
+
+    texts = ["heat moves", "heat moves through metal and water and air and stone for a long while " * 3, "water boils", "cold metal", "heat in water"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[1]), (0, texts[2])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "heat in metal"), (2, "boiling water"), (None, "heat")], "query_id long, text string").where("query_id is not null")
+    index = segments.SegmentedIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.add(chunks)
+    assert sorted(segments.search(index, asked, 3).collect()) == sorted(lexical.search(chunks, asked, 3, index=lexical.build_index(chunks)).collect())
+    state = index.state()
+    plan = segments.planned(index, state, asked, measure(asked))
+    scored = segments._scored(plan, index, state, plan.bounds)
+    shuffles = scored._jdf.queryExecution().executedPlan().toString()
+    assert shuffles.count("Exchange hashpartitioning(segment") == 1 and "Exchange hashpartitioning(query_id" not in shuffles
+    assert scored.agg(F.count("*")).first()[0] == scored.select("query_id", "chunk_id").distinct().count()

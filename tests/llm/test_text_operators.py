@@ -397,6 +397,22 @@ def test_fuzzy_passages_are_found(documents, length, similarity):
         assert min(len(own), len(other)) >= 50 and common_words(own, other) >= 0.8 * max(len(own), len(other))
 
 
+def test_every_run_of_words_is_a_seed(documents):
+    """An edit after every fifth word leaves runs of five words alone, none of which may be left out."""
+    chance, pairs = random.Random(9), 40
+    filler = made_up(2 * pairs, 35, 60, 120, 10**6)
+    texts = list(filler)
+    for k in range(pairs):
+        held = [f"p{chance.randrange(10**6)}" for _ in range(65)]
+        copy = [f"e{chance.randrange(10**6)}" if at % 6 == 5 else word for at, word in enumerate(held)]
+        for i, run in ((k, held), (pairs + k, copy)):
+            own = filler[i].split()
+            texts[i] = " ".join([*own[:30], *run, *own[30:]])
+    docs = documents(texts)
+    assert {r["doc_id"] for r in passages.repeated(docs).collect()} == set(range(pairs, 2 * pairs))
+    assert passages.seeds(docs).count() == sum(len(words(t)) - 4 for t in texts)
+
+
 def test_long_windows_are_equal_for_equal_runs_alone():
     values = np.random.default_rng(4).integers(0, 3, 400).astype(np.uint64)
     for width in (1, 2, 7, 50, 400, 401):

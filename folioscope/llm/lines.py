@@ -5,8 +5,9 @@ line is one shingle. `HASHES` minima over differently flipped hashes sign the se
 the keys under which similar lines meet. Equal lines are folded before that by a 128-bit hash. Lines that meet are
 checked against the first of them; where a key then still spans several components, every line outside its largest
 component is checked against all lines of other components, in blocks of `BLOCK` lines on either side. Before a
-pair's sets are compared exactly, half of its minima must agree. Distributed union-find makes components, and of each the line
-that comes first (by doc_id, then place) is kept.
+pair's sets are compared exactly, half of its minima must agree, and their sizes and parity sketches must not differ by more
+than sets as similar as asked can; that rule alone loses no pair. Distributed union-find makes components, and of each the
+line that comes first (by doc_id, then place) is kept.
 
 Chance of meeting, from the binomial spread of agreeing minima: 0.97 at similarity 0.8, over 0.998 from 0.88 on.
 
@@ -29,6 +30,8 @@ from folioscope.llm.graph import components, joined
 #: One match per character that a shingle begins with.
 SHINGLE = r"(?s)(?=(.{8}|^.{1,7}\z))."
 HASHES, ROWS, BANDS, SEED = 20, 4, 12, 11
+#: Longs of a parity sketch.
+WORDS = 16
 BLOCK = 2048
 _BITS = (1 << 31) - 1
 
@@ -65,15 +68,36 @@ def _agree(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, same) >= HASHES // 2
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are as similar as asked, stored; only lines concerned are read again."""
-    pairs = stored(pairs)
-    nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+def _read(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The lines (node, line) that stand at some places, stored."""
     ids = stored(nodes.select("node.doc_id").distinct())
     lines = split_lines(docs.join(small(ids), "doc_id", "left_semi")).withColumn("node", F.struct("doc_id", "line_no"))
-    lines = lines.join(small(nodes), "node", "left_semi").dropDuplicates(["node"])
+    texts = stored(lines.join(small(nodes), "node", "left_semi").dropDuplicates(["node"]).select("node", "line"))
+    discard(ids)
+    return texts
+
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """The size (_size) and the parity sketch (_bits, `WORDS` longs) of every line's set: each shingle flips one bit."""
+    each = texts.select("node", F.explode(F.array_distinct(shingles(F.col("line")))).alias("_s"))
+    each = each.select("node", F.xxhash64("_s").alias("_x"))
+    each = each.select("node", F.expr(f"pmod(shiftright(_x, 6), {WORDS})").alias("_w"), F.expr("shiftleft(1L, CAST(_x & 63 AS INT))").alias("_x"))
+    words = [F.bit_xor(F.when(F.col("_w") == i, F.col("_x")).otherwise(F.lit(0).cast("long"))) for i in range(WORDS)]
+    return each.groupBy("node").agg(F.count(F.lit(1)).alias("_size"), F.array(*words).alias("_bits"))
+
+
+def _near(a: str, b: str, percent: int) -> Column:
+    """False only for sets that are less similar than asked: the bits in which two sketches differ are no more than the
+    shingles that one set has and the other lacks, nor is the difference of their sizes."""
+    x, y = F.col(a), F.col(b)
+    most = (100 - percent) * (x["_size"] + y["_size"])
+    bits = reduce(lambda p, q: p + q, [F.bit_count(x["_bits"][i].bitwiseXOR(y["_bits"][i])) for i in range(WORDS)])
+    return ((100 + percent) * F.abs(x["_size"] - y["_size"]) <= most) & _agree(f"{a}._m", f"{b}._m") & ((100 + percent) * bits <= most)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are as similar as asked, stored."""
     # The text is an eighth of its set; the sets are made where they are compared, once per pair.
-    texts = stored(lines.select("node", "line"))
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("line").alias("_x")), "u")
     both = both.join(texts.select(F.col("node").alias("v"), F.col("line").alias("_y")), "v")
     sets = F.array(F.struct(*[F.array_distinct(shingles(F.col(c))).alias(c) for c in ("_x", "_y")]))
@@ -81,9 +105,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     def alike(s: Column) -> Column:
         return (100 + percent) * F.size(F.array_intersect(s["_x"], s["_y"])) >= percent * (F.size(s["_x"]) + F.size(s["_y"]))
 
-    links = stored(both.where(F.exists(sets, alike)).select("u", "v"))
-    discard(pairs, nodes, ids, texts)
-    return links
+    return stored(both.where(F.exists(sets, alike)).select("u", "v"))
 
 
 def duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -98,12 +120,14 @@ def duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     met = met.withColumns({"_head": F.min("node").over(key), "_last": F.max("node").over(key)})
     met = stored(met.where("_head <> _last").select("_key", "node", "_head"))
 
-    concerned = distinct.join(small(stored(met.select("node").distinct())), "node", "left_semi")
-    concerned = stored(concerned.select("node", F.col("_m").alias("_p")))
+    nodes = stored(met.select("node").distinct())
+    texts = _read(docs, nodes)
+    concerned = distinct.select("node", "_m").join(small(nodes), "node", "left_semi").join(sketched(texts), "node")
+    concerned = stored(concerned.select("node", F.struct("_size", "_bits", "_m").alias("_p")))
     stars = met.where("node <> _head").select(F.col("node").alias("u"), F.col("_head").alias("v")).distinct()
     tested = stars.join(concerned.withColumnRenamed("node", "u"), "u")
-    tested = tested.join(concerned.select(F.col("node").alias("v"), F.col("_p").alias("_q")), "v").where(_agree("_p", "_q"))
-    links = _verified(tested.select("u", "v"), docs, percent)
+    tested = tested.join(concerned.select(F.col("node").alias("v"), F.col("_p").alias("_q")), "v").where(_near("_p", "_q", percent))
+    links = _verified(tested.select("u", "v"), texts, percent)
     so_far = stored(components(links))
 
     # Keys that still span several components: all pairs of lines of different components.
@@ -123,19 +147,19 @@ def duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         "_key", every("_nx").alias("_i"), own("_ny").alias("_j"), F.col("node").alias("_node"), F.col("_group").alias("_other"),
         "_minor", F.col("_p").alias("_q"),
     )
-    apart = (F.col("_group") != F.col("_other")) & (~F.col("_minor") | (F.col("node") > F.col("_node"))) & _agree("_p", "_q")
+    apart = (F.col("_group") != F.col("_other")) & (~F.col("_minor") | (F.col("node") > F.col("_node"))) & _near("_p", "_q", percent)
     pairs = left.withColumnsRenamed({"_key": "_k", "_i": "_x", "_j": "_y"}).join(
         right, F.expr("_k = _key AND _x = _i AND _y = _j") & apart
     )
     pairs = pairs.select(F.greatest("node", "_node").alias("u"), F.least("node", "_node").alias("v")).distinct()
-    late = _verified(pairs.join(stars, ["u", "v"], "left_anti"), docs, percent)
+    late = _verified(pairs.join(stars, ["u", "v"], "left_anti"), texts, percent)
     groups = stored(joined(so_far, late))
 
     moved = groups.where("node <> component")
     kept = distinct.select("_a", "_b", "node", "n").join(moved, "node", "left")
     kept = kept.where("n > 1 OR component IS NOT NULL")
     kept = stored(kept.select("_a", "_b", F.col("node").alias("_first"), F.coalesce("component", "node").alias("_kept")))
-    discard(distinct, met, concerned, links, so_far, waiting, late, groups)
+    discard(distinct, met, nodes, texts, concerned, links, so_far, waiting, late, groups)
     gone = lines.select("doc_id", "line_no", "_a", "_b").join(small(kept), ["_a", "_b"])
     gone = gone.where(F.struct("doc_id", "line_no") != F.col("_kept"))
     return gone.select(

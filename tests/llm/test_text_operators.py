@@ -341,6 +341,42 @@ def test_lines_of_one_template_are_all_compared(documents, block, monkeypatch):
     assert got == want
 
 
+def test_unlike_lines_of_one_passage_are_not_compared_exactly(documents, monkeypatch):
+    chance = random.Random(23)
+    some = lambda n: "".join(chance.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).strip()
+    passage = some(240)
+    texts = [f"{some(30)}{passage}{some(30)}" for _ in range(90)]
+    texts += [f"{t[:9]}#{t[10:]}" for t in texts[:30]]
+    sets = {i: plain_shingles(line) for i, line in enumerate(texts)}
+    links = similar_pairs(sets, 80)
+    checked, plain = [], lines._verified
+
+    def counted(pairs, *rest):
+        checked.extend((r["u"]["doc_id"], r["v"]["doc_id"]) for r in pairs.collect())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    got = {r["doc_id"]: r["kept_doc_id"] for r in lines.duplicates(documents(texts)).collect()}
+    assert got == {i: g for i, g in smallest_reachable(sets, links).items() if g != i}
+    assert len(checked) < 2 * len(texts)
+
+
+def test_sketches_lose_no_pair(documents):
+    chance = random.Random(24)
+    texts = line_texts()
+    for size in (8, 9, 40, 300, 3000):
+        line = "".join(chance.choice("abcdefgh ij") for _ in range(size)).replace(" ", "k")
+        texts += [line, line[: size - size // 10], line[: size // 2] + line[size // 2 + 1 :], line + line[: size // 8], "ab" * size]
+    rows = lines.split_lines(documents(texts)).withColumn("node", F.struct("doc_id", "line_no"))
+    rows = lines.sketched(rows).withColumn("_m", F.array(*[F.lit(1)] * lines.HASHES))
+    left, right = (rows.select(F.col("node.doc_id").alias(i), F.struct("_size", "_bits", "_m").alias(p)) for i, p in (("i", "_p"), ("j", "_q")))
+    near = {(r["i"], r["j"]) for r in left.join(right, F.expr("i < j")).where(lines._near("_p", "_q", 80)).collect()}
+    sets = {i: plain_shingles(line) for i, line in enumerate(texts)}
+    links = {(min(p), max(p)) for p in similar_pairs(sets, 80)}
+    assert len(links) > 25 and links <= near
+    assert {r["node"]["doc_id"]: r["_size"] for r in rows.collect()} == {i: len(s) for i, s in sets.items()}
+
+
 # ---- op7
 
 

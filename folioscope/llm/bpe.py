@@ -28,7 +28,7 @@ _ALWAYS = 1 << 30
 _NONE = -2
 #: Texts in which white space is single spaces and line feeds between other characters split into these runs alone.
 _RUN = re.compile(r"\n| ?[^ \n]+")
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
+_ODD_SPACE = re.compile(r"\s(?:\s|(?<=[^ \n])|\Z)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -96,6 +96,7 @@ class Automaton:
         self.ends: dict[tuple[int, str], bytes | None] = {}
         self.packed = [number.to_bytes(4, "little") for number in range(vocabulary.size)]
         self.seen: dict[str, tuple[tuple[int, int], ...]] = {}
+        self.begun: dict[str, tuple[tuple[int, int], ...]] = {}
 
     def arc(self, state: int, token: int) -> bool:
         """Whether the state after `state` has an arc for `token`; looked up once per pair."""
@@ -133,22 +134,28 @@ class Automaton:
 
         Ends of words recur far more often than words, so their paths are remembered per state.
         """
-        key = state, rest
-        path = self.ends.get(key, b"?")
-        if path != b"?":
-            return path
+        size = len(rest)
+        kept = state >= 0 and size <= self.END
+        if kept:
+            key = state, rest
+            path = self.ends.get(key, _NONE)
+            if path is not _NONE:
+                return path
         path, known = None, self.known
-        for length, token in self._matches(rest, 0):
+        matches = self.seen.get(rest[: self.WINDOW])
+        if matches is None:
+            matches = self._matches(rest, 0)
+        for length, token in matches:
             allowed = state < 0 or known.get(state << 32 | token)
             if allowed or allowed is None and self.arc(state, token):
-                if length == len(rest):
+                if length == size:
                     path = self.packed[token]
                     break
                 further = self._rest(token, rest[length:])
                 if further is not None:
                     path = self.packed[token] + further
                     break
-        if state >= 0 and len(rest) <= self.END:
+        if kept:
             if len(self.ends) >= self.MEMO // 2:
                 self.ends.clear()
             self.ends[key] = path
@@ -180,14 +187,21 @@ class Automaton:
         key = word[start : start + self.WINDOW]
         found = self.seen.get(key)
         if found is None:
-            steps, matches, ended = self.steps, [], len(key) < self.WINDOW
-            for end in range(start + 1, len(word) + 1):
+            # What the window alone decides is looked up once.
+            steps, ended = self.steps, len(key) < self.WINDOW
+            begun = self.begun.get(key)
+            matches = [] if begun is None else [*begun]
+            for end in range(start + 1 if begun is None else start + self.WINDOW + 1, len(word) + 1):
                 token = steps.get(word[start:end])
                 if token is None:
                     ended = ended or end - start <= self.WINDOW
                     break
                 if token != _NONE:
                     matches.append((end - start, token))
+                if end - start == self.WINDOW:
+                    if len(self.begun) >= self.MEMO // 4:
+                        self.begun.clear()
+                    self.begun[key] = tuple(matches)
             found = tuple(matches[::-1])
             if ended:  # nothing beyond the window decided this
                 if len(self.seen) >= self.MEMO // 4:
@@ -258,7 +272,7 @@ class Encoder(dict):
         """Ids, four bytes each, of a text without special tokens."""
         if not text:
             return b""
-        if _ODD_SPACE.search(text):
+        if text[0].isspace() or _ODD_SPACE.search(text):
             return b"".join(map(self.words.__getitem__, self.presplit(text)))
         return b"".join(map(self.__getitem__, _RUN.findall(text)))
 

@@ -64,6 +64,28 @@ def test_automaton_of_few_merges_follows_merge_order():
     assert split("abc") == ["a", "bc"] and split("aab") == ["a", "ab"] and split("aaaa") == ["aa", "aa"] and split("aaa") == ["aa", "a"]
 
 
+def test_beginnings_shared_by_words_are_looked_up_once(tokenizer, tokenizer_path):
+    encoder = bpe.Encoder(bpe.Vocabulary.load(tokenizer_path))
+    looked_up = []
+
+    class Counted(dict):
+        def get(self, key):
+            looked_up.append(key)
+            return dict.get(self, key)
+
+    encoder.automaton.steps = Counted(encoder.automaton.steps)
+    texts = [f"international{end}" for end in ("", "e", "ize", "xq", "ly", "zzz", "s")]
+    assert [np.frombuffer(encoder.encode(t), dtype="<u4").tolist() for t in texts] == encoded(tokenizer, texts)
+    assert looked_up.count("inter") == 1
+
+
+def test_odd_white_space_is_split_as_the_tokenizer_does(tokenizer, tokenizer_path):
+    encoder = bpe.Encoder(bpe.Vocabulary.load(tokenizer_path))
+    chance = random.Random(27)
+    texts = ["".join(chance.choice(" \n\t\x0b\x1c\x85\xa0\u3000\u200bab.,'") for _ in range(chance.randint(1, 9))) for _ in range(3000)]
+    assert [np.frombuffer(encoder.encode(t), dtype="<u4").tolist() for t in texts] == encoded(tokenizer, texts)
+
+
 def test_ids_and_texts_as_columns(documents, tokenizer, tokenizer_path):
     texts = odd_texts(40)
     docs = documents(texts)

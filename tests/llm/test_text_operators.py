@@ -377,6 +377,32 @@ def test_sketches_lose_no_pair(documents):
     assert {r["node"]["doc_id"]: r["_size"] for r in rows.collect()} == {i: len(s) for i, s in sets.items()}
 
 
+def test_signatures_hold_all_minima(documents, monkeypatch):
+    chance = random.Random(25)
+    texts = [*line_texts(), "\u00e9" + "x" * 7, "\u00e9t\u00e9", "-" * 700, "ab" * 400, "na\u00efve " * 90, "\U0001f600" * 300]
+    texts += ["".join(chance.choice("abcd\u00e9\u4e2d ") for _ in range(n)).strip() + "." for n in (1, 6, 7, 8, 9, 60, 900, 5000)]
+    rows = lines.split_lines(documents(texts))
+    plain = rows.select("doc_id", F.explode(lines.shingles(F.col("line"))).alias("_s")).select("doc_id", F.xxhash64("_s").alias("_x"))
+    want, got = ({}, {})
+    for found, table in ((want, plain), (got, lines.hashed(rows, "doc_id"))):
+        for r in table.collect():
+            found.setdefault(r["doc_id"], []).append(r["_x"])
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+    flips, _ = lines._choices()
+    minima = {i: [min((v & lines._BITS) ^ flip for v in x) for flip in flips] for i, x in want.items()}
+    full, plain_minima = [], lines._minima
+
+    def counted(table, few):
+        if not few:
+            full.extend(r["doc_id"] for r in table.select("doc_id").collect())
+        return plain_minima(table, few)
+
+    monkeypatch.setattr(lines, "_minima", counted)
+    distinct, _ = lines.signed(documents(texts).select("doc_id", "text"))
+    assert {r["node"]["doc_id"]: r["_m"] for r in distinct.collect()} == {i: minima[i] for i in want}
+    assert texts.index("-" * 700) in full and len(full) < 10
+
+
 # ---- op7
 
 

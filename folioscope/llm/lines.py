@@ -6,9 +6,9 @@ the keys under which similar lines meet. Equal lines are folded before that by a
 checked against the first of them; where a key then still spans several components, every line outside its largest
 component is checked against all lines of other components, in blocks of `BLOCK` lines on either side. Before a
 pair's sets are compared exactly, half of its minima must agree, and their sizes and parity sketches must not differ by more
-than sets as similar as asked can; that rule alone loses no pair. Of a line's many hashes, only those near enough to a minimum to be one are compared with it;
-lines that lack a minimum so are signed over all their hashes. Distributed union-find makes components, and of each the
-line that comes first (by doc_id, then place) is kept.
+than sets as similar as asked can; that rule alone loses no pair. Of a line's hashes, few are near enough to a flip to be its minimum, and only those are
+compared; lines that lack a minimum so are signed over all their hashes. Distributed union-find makes components, and of
+each the line that comes first (by doc_id, then place) is kept.
 
 Chance of meeting, from the binomial spread of agreeing minima: 0.97 at similarity 0.8, over 0.998 from 0.88 on.
 

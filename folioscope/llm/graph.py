@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import discard, stored
+from folioscope.llm.common import discard, release, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = up.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("_m").alias("v"))
         before, (edges, after) = edges, _settled(_ordered(down))
         discard(before)
+        release(edges)  # plans and tables of the rounds before would fill the driver
         if after == state:
             break
         state = after

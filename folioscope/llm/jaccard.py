@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WordHashes, discard, extended, long_lists, mix, parts, small, stored, windows, word_hashes
+from folioscope.llm.common import discard, extended, hashed_texts, long_lists, mix, parts, small, stored, windows
 from folioscope.llm.graph import components
 
 LEAST_BITS = 512
@@ -59,9 +59,8 @@ class Bands:
         return differ + 1 + slack, slack
 
 
-def shingles(text: str | None, width: int, known: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `width` lower-cased words; of the whole text where it has fewer."""
-    words = word_hashes(text, known)
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `width` of a text's hashed words; of the whole text where it has fewer."""
     if not len(words):
         return words
     return np.unique(windows(words, min(width, len(words))))
@@ -96,12 +95,12 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
     given = docs.select("doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bands, seen = WordHashes(), Bands(percent), set()
+        bands, seen = Bands(percent), set()
         nothing = np.empty(0, dtype=np.uint64)
         for batch in parts(batches):
             sizes, first, second, sketches, keys = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                found = shingles(text, width, known)
+            for words in hashed_texts(batch.column("text").to_pylist()):
+                found = shingles(words, width)
                 sizes.append(len(found))
                 a, b = np.bitwise_xor.reduce(mix(found + _U(1))), mix(found + _U(2)).sum(dtype=np.uint64)
                 first.append(a)
@@ -128,9 +127,8 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     given = docs.select("doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in parts(batches):
-            found = [shingles(text, width, known) for text in batch.column("text").to_pylist()]
+            found = [shingles(words, width) for words in hashed_texts(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), long_lists(found)], names=["doc_id", "_set"])
 
     return given.mapInArrow(work, extended(given.select("doc_id"), "_set array<long>"))

@@ -59,9 +59,30 @@ def _places(words: Column) -> Column:
     return let(placed, lambda p: F.when(F.size(p) == 0, nothing).otherwise(runs(p)))
 
 
+def _named(chunks: DataFrame) -> DataFrame | None:
+    """`_term, _lexeme` of the words that stand in most chunks: as many as may be broadcast."""
+    vocabulary = chunks.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    counted = vocabulary.where(~F.col("term").isin(STOP_WORDS)).groupBy("term").agg(F.floor(F.log2(F.count(F.lit(1)))).alias("_size"))
+    counted = materialise(counted)
+    sizes = counted.groupBy("_size").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("term")).alias("payload")).collect()
+    least, rows, payload = None, 0, 0
+    for size in sorted(sizes, key=lambda r: -r["_size"]):  # a row per power of two
+        rows, payload = rows + size["rows"], payload + size["payload"]
+        if not Extent(rows, 2 * payload + 8 * rows).fits(per_row=48):
+            break
+        least = size["_size"]
+    if least is None:
+        return None
+    named = stems(counted.where(F.col("_size") >= least).select("term"))
+    return named.select(F.col("term").alias("_term"), F.col("lexeme").alias("_lexeme"))
+
+
 @dataclass(frozen=True)
 class LexemeIndex:
-    """Postings with positions (`chunk_id, lexeme, positions`), stored once so that no search splits or stems a chunk."""
+    """Postings with positions (`chunk_id, lexeme, positions`), stored once so that no search splits or stems a chunk.
+
+    A chunk whose words share a lexeme, or an identifier that several rows have, may have a lexeme in several rows; a
+    search puts them together."""
 
     postings: DataFrame
     english: bool = True  # stems and stop words; otherwise words as they are
@@ -69,28 +90,21 @@ class LexemeIndex:
 
     @staticmethod
     def build(chunks: DataFrame, english: bool = True) -> LexemeIndex:
-        """Every word is split off once and stemmed once per distinct word. A row's postings are made within it; only
-        those of words that may share a lexeme, or of rows that share an identifier, meet others."""
-        repeated = materialise(chunks.groupBy("chunk_id").count().where("count > 1").select(F.col("chunk_id").alias("_id"), F.lit(True).alias("_twice")))
-        repeated = F.broadcast(repeated) if measure(repeated).fits() else repeated
-        held = chunks.select("chunk_id", "text").join(repeated, F.col("chunk_id").eqNullSafe(F.col("_id")), "left")
-        held = held.withColumn("_twice", F.coalesce("_twice", F.lit(False)))
-        rows = held.select("chunk_id", "_twice", F.explode(_places(words(F.col("text")))).alias("_place")).select("chunk_id", "_twice", "_place.*")
+        """Every word is split off once; a row's postings are made within it and meet no others. Common words are
+        stemmed once and looked up, the rest where they stand."""
+        rows = chunks.select("chunk_id", F.explode(_places(words(F.col("text")))).alias("_place")).select("chunk_id", "_place.*")
         if english:
-            vocabulary = chunks.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-            named = stems(vocabulary)
-            kin = Window.partitionBy("lexeme")
-            named = materialise(named.select(F.col("term").alias("_term"), "lexeme", (F.count(F.lit(1)).over(kin) > 1).alias("_shared")))
-            rows = spread_join(rows.withColumnRenamed("lexeme", "_term"), named, ["_term"], fits=measure(named).fits(per_row=48), spread=["chunk_id"]).drop("_term")
-        meets = F.col("_twice") | F.col("_shared") if english else F.col("_twice")
-        alone = rows.where(~meets).select("chunk_id", "lexeme", "positions")
-        grouped = rows.where(meets).groupBy("chunk_id", "lexeme").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
-        return LexemeIndex(alone.unionByName(grouped), english)
+            rows = rows.where(~F.col("lexeme").isin(STOP_WORDS)).withColumnRenamed("lexeme", "term")
+            named, lexeme = _named(chunks), stem("term")
+            if named is not None:
+                rows = rows.join(F.broadcast(named), F.col("term") == F.col("_term"), "left")
+                lexeme = F.when(F.col("_lexeme").isNotNull(), F.col("_lexeme")).otherwise(lexeme)
+            rows = rows.select("chunk_id", lexeme.alias("lexeme"), "positions")
+        return LexemeIndex(rows, english)
 
     def save(self, folder: str, buckets: int = BUCKETS) -> None:
-        """Places postings by a hash of the lexeme; a hot lexeme's partition is spread over files by its chunks."""
-        rows = self.postings.withColumns({"bucket": _placed(buckets), "_salt": F.pmod(F.xxhash64("chunk_id"), F.lit(32))})
-        rows = rows.repartition("bucket", "_salt").drop("_salt").sortWithinPartitions("bucket", "lexeme")
+        """Places postings by a hash of the lexeme. Every task writes its own part of a bucket, so no posting is moved."""
+        rows = self.postings.withColumn("bucket", _placed(buckets)).sortWithinPartitions("bucket", "lexeme")
         rows.write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
     @staticmethod
@@ -144,17 +158,26 @@ def _covers(hits: Column) -> Column:
 
 
 def scores(index: LexemeIndex, questions: DataFrame, extent: Extent | None = None, strict: bool = False) -> DataFrame:
-    """`query_id, chunk_id, score` of every chunk with a cover. What meets in a group is one chunk's part of a question."""
+    """`query_id, chunk_id, score` of every chunk with a cover. The postings that a batch asks for meet by chunk, each
+    once; what questions make of them stays in the task where the batch may be broadcast. What meets in a group is one
+    chunk's part of a question."""
     extent = extent or measure(questions.select("query_id", "text"))
     asked = operands(questions, index.english, strict)
-    hits = spread_join(index.needed(asked), asked, ["lexeme"], fits=extent.fits(per_row=64, copies=24), spread=["chunk_id"])
+    fits = extent.fits(per_row=64, copies=24)
+    wanted = asked.select("lexeme").distinct()
+    held = spread_join(index.needed(asked), wanted, ["lexeme"], fits=fits, spread=["chunk_id"], how="left_semi")
+    held = held.repartition("chunk_id").groupBy("chunk_id", "lexeme")
+    held = held.agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    hits = spread_join(held, asked, ["lexeme"], fits=fits, spread=["chunk_id"])
     hit = F.struct("operand", "offset", "n", "last", "negative", "cover", "positions")
-    rows = hits.groupBy("query_id", "chunk_id").agg(F.collect_list(hit).alias("hits"))
+    rows = hits.groupBy("query_id", "chunk_id").agg(F.collect_list(hit).alias("hits"), (F.count_if(F.col("n") > 1) > 1).alias("_several"))
+    covers = _covers(F.col("hits"))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,negative:boolean>>)")
     rows = rows.withColumns(
         {
             "every": F.array_distinct(F.flatten(F.transform("hits", lambda h: h["positions"]))),
             "single": F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda h: h["cover"]), lambda h: h["positions"]))),
-            "phrases": _covers(F.col("hits")),
+            "phrases": F.when(F.col("_several"), covers).otherwise(none),
         }
     )
     if strict:

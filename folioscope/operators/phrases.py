@@ -146,12 +146,12 @@ def _covers(hits: Column) -> Column:
     """Start, end and sign of every place where a phrase stands whole, from the hits of one question in one chunk."""
 
     def starts(first: Column) -> Column:
-        members = F.filter(hits, lambda m: m["operand"] == first["operand"])
-        whole = F.filter(
-            first["positions"],
-            lambda p: (F.size(members) == first["n"]) & F.forall(members, lambda m: F.array_contains(m["positions"], p + m["offset"])),
-        )
-        return F.transform(whole, lambda p: F.struct(p.alias("start"), (p + first["last"]).alias("end"), first["negative"].alias("negative")))
+        def whole(members: Column) -> Column:
+            found = F.filter(first["positions"], lambda p: F.forall(members, lambda m: F.array_contains(m["positions"], p + m["offset"])))
+            return F.when(F.size(members) == first["n"], found).otherwise(F.array().cast("array<int>"))
+
+        places = let(F.filter(hits, lambda m: m["operand"] == first["operand"]), whole)
+        return F.transform(places, lambda p: F.struct(p.alias("start"), (p + first["last"]).alias("end"), first["negative"].alias("negative")))
 
     heads = F.filter(hits, lambda h: (h["n"] > 1) & (h["offset"] == 0))
     return F.array_distinct(F.flatten(F.transform(heads, starts)))
@@ -173,13 +173,10 @@ def scores(index: LexemeIndex, questions: DataFrame, extent: Extent | None = Non
     rows = hits.groupBy("query_id", "chunk_id").agg(F.collect_list(hit).alias("hits"), (F.count_if(F.col("n") > 1) > 1).alias("_several"))
     covers = _covers(F.col("hits"))
     none = F.expr("cast(array() as array<struct<start:int,end:int,negative:boolean>>)")
-    rows = rows.withColumns(
-        {
-            "every": F.array_distinct(F.flatten(F.transform("hits", lambda h: h["positions"]))),
-            "single": F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda h: h["cover"]), lambda h: h["positions"]))),
-            "phrases": F.when(F.col("_several"), covers).otherwise(none),
-        }
-    )
+    single = F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda h: h["cover"]), lambda h: h["positions"])))
+    rows = rows.withColumns({"single": single, "phrases": F.when(F.col("_several"), covers).otherwise(none)})
+    every = F.array_distinct(F.flatten(F.transform("hits", lambda h: h["positions"])))
+    rows = rows.withColumn("every", F.when(F.size("phrases") > 0, every))
     if strict:
         banned = F.exists("hits", lambda h: h["negative"] & (h["n"] == 1)) | F.exists("phrases", lambda p: p["negative"])
         rows = rows.where(~banned)
